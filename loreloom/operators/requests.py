@@ -167,12 +167,19 @@ def tool_rules(spark: SparkSession, rules: list[dict] | None = None) -> DataFram
 
 
 def select_tools(
-    requests: DataFrame, rules: list[dict] | None = None, entities: DataFrame | None = None
+    requests: DataFrame, rules: list[dict] | None = None, entities: DataFrame | None = None,
+    fix_names: bool = True,
 ) -> DataFrame:
-    """query_id, game_id, query to one row each with tool (null for none) and its arguments."""
+    """query_id, game_id, query to one row each with tool (null for none) and its arguments.
+
+    The triggers are looked for in the query and its rewritten form; `fix_names` lets the
+    rewriting respell entity names.
+    """
     spark = requests.sparkSession
     rules = rules or fixed.TOOL_RULES
-    asked = rewrite_queries(requests.select("query_id", "game_id", "query"), entities)
+    asked = rewrite_queries(
+        requests.select("query_id", "game_id", "query"), entities if fix_names else None
+    )
     same = F.array_join(tx.tokens(F.col("query")), " ") == F.array_join(
         tx.tokens(F.col("retrieval_query")), " "
     )

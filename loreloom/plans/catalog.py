@@ -186,7 +186,7 @@ def corpus_stats(spark, folder):
     index = lexical.build_index(b.corpus(spark, folder))
     return index.document_frequencies().select(
         "term", "df",
-        F.lit(index.total).alias("total_documents"),
+        F.lit(index.total).cast("bigint").alias("total_documents"),
         F.round(F.lit(index.average_length), 6).alias("average_length"),
     )
 
@@ -470,11 +470,14 @@ def memory_context(spark, folder):
 
 
 def _selected(spark, folder):
+    """Tools by rules and mentions; names are not respelled here (see rewrite_names)."""
     routed = requests.route_tenant(b.requests(spark, folder), ["bg3", "blue_prince"])
     asked = routed.select(
         F.col("request_id").alias("query_id"), "game_id", F.col("message").alias("query")
     )
-    return requests.select_tools(asked, entities=b.game_entities(spark, folder))
+    return requests.select_tools(
+        asked, entities=b.game_entities(spark, folder), fix_names=False
+    )
 
 
 def _argument_text(arguments):
