@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.functions import fixed
@@ -25,6 +25,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def explode_once(df: DataFrame, array: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain explode makes the optimizer test the array for emptiness first, below the projection,
+    and so compute it twice. The outer form with the test afterwards computes it once.
+    """
+    if position is None:
+        rows = df.select("*", F.explode_outer(array).alias(name))
+    else:
+        rows = df.select("*", F.posexplode_outer(array).alias(position, name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def fold(text: Column) -> Column:
     """Case-fold: lower case, with the sharp s spelled out."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))

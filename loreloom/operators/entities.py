@@ -115,19 +115,13 @@ def substrings_like(haystacks: DataFrame, text: str, needles: DataFrame, name: s
             p.alias("at"), F.substring(F.col(text), p, F.lit(longest)).alias("rest")
         ),
     )
-    windows = (
-        haystacks.filter(F.col(text) != "")
-        .select(*keep, F.explode(starts).alias("__w"))
-        .select(*keep, "__w.at", "__w.rest")
-        .withColumn(
-            "head",
-            F.explode(
-                F.array_distinct(
-                    F.array(*[F.substring(F.col("rest"), 1, n) for n in range(1, HEAD + 1)])
-                )
-            ),
-        )
+    windows = tx.explode_once(haystacks.filter(F.col(text) != ""), starts, "__w").select(
+        *keep, "__w.at", "__w.rest"
+    )
+    heads = F.array_distinct(
+        F.array(*[F.substring(F.col("rest"), 1, n) for n in range(1, HEAD + 1)])
     )
+    windows = tx.explode_once(windows, heads, "head")
     met = join_small(windows, fragments, ["game_id", "head"])
     return met.filter(F.length("rest") >= F.col("size")).select(
         *keep, "at", F.expr("substring(rest, 1, size)").alias("found")
@@ -242,7 +236,7 @@ def _near_candidates(values: DataFrame, names: DataFrame, miss: float) -> DataFr
 
     asked = (
         values.select("game_id", "value", F.explode(forms(F.col("value"))).alias("text"))
-        .select("game_id", "value", F.explode(probes(F.col("text"))).alias("p"))
+        .transform(lambda rows: tx.explode_once(rows, probes(F.col("text")), "p"))
         .select("game_id", "value", "p.size", "p.no", "p.part")
     )
     return join_small(indexed, asked, ["game_id", "size", "no", "part"]).select(

@@ -89,7 +89,9 @@ def term_counts(tokens: Column) -> Column:
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, game_id, term and how often the query repeats it."""
     return (
-        queries.select("query_id", "game_id", F.explode(tx.tokens(F.col("query"))).alias("term"))
+        tx.explode_once(
+            queries.select("query_id", "game_id", "query"), tx.tokens(F.col("query")), "term"
+        )
         .groupBy("query_id", "game_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )

@@ -204,7 +204,7 @@ def _paths(titles: Column, rules: SectionRules) -> Column:
 
 def explode_sections(documents: DataFrame) -> DataFrame:
     """One row per section."""
-    return documents.withColumn("__s", F.explode("sections")).select(
+    return tx.explode_once(documents, F.col("sections"), "__s").select(
         *[c for c in documents.columns if c != "sections"], "__s.*"
     )
 

@@ -9,10 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.functions import text as tx
+from loreloom.session import join_small, spread
+
+
+# Tables with text or vectors to work on, and the column they are spread by.
+TEXT_TABLES = {
+    "documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
 
 
 def first_words(text, n: int):
@@ -196,8 +204,6 @@ def golden_cases(spark: SparkSession, folder: str) -> DataFrame:
     Documents and items meet on six words after the item's first one, then the whole text is
     compared.
     """
-    from loreloom.session import join_small
-
     words = tx.words(F.col("text"))
     items = table(spark, folder, "benchmark").select(
         "item_id", F.col("text").alias("item"),
@@ -209,9 +215,7 @@ def golden_cases(spark: SparkSession, folder: str) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (GOLDEN_WORDS - 1))),
         lambda i: F.array_join(F.slice("w", i, GOLDEN_WORDS), " "),
     )
-    keyed = runs.select(
-        "title", "source_id", "text_en", F.explode(F.array_distinct(windows)).alias("key")
-    )
+    keyed = tx.explode_once(runs, F.array_distinct(windows), "key").drop("w")
     expected = (
         join_small(keyed, items, ["key"])
         .filter(F.contains("text_en", F.col("item")))
@@ -501,7 +505,7 @@ def changed_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     from loreloom.streaming.jobs import file_stream
 
-    schema = table(spark, folder, name).schema
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return file_stream(spark, folder, f"{name}.parquet", schema)
 
 

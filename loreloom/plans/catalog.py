@@ -117,9 +117,7 @@ def thread_sections(spark, folder):
 @query
 def chunk_fixed(spark, folder):
     docs = b.raw_documents(spark, folder)
-    windows = docs.select(
-        "doc_id", "title", F.posexplode(chunking.fixed_windows(F.col("text_en"))).alias("pos", "c")
-    )
+    windows = tx.explode_once(docs, chunking.fixed_windows(F.col("text_en")), "c", "pos")
     return windows.select(
         F.concat_ws(
             ":", "doc_id", tx.slug(F.col("title")), F.format_string("%04d", F.col("pos") + 1)
@@ -141,9 +139,7 @@ def chunk_paragraphs(spark, folder):
     """Every line a paragraph; packed to 800 characters with one paragraph of overlap."""
     docs = b.raw_documents(spark, folder)
     text = F.replace("text_en", F.lit("\n"), F.lit("\n\n"))
-    return docs.select(
-        "doc_id", F.posexplode(chunking.pack_paragraphs(text, 800, 1)).alias("pos", "c")
-    ).select(
+    return tx.explode_once(docs, chunking.pack_paragraphs(text, 800, 1), "c", "pos").select(
         "doc_id", (F.col("pos") + 1).alias("chunk_no"),
         F.length("c").alias("n_chars"), F.md5("c").alias("text_md5"),
     )
@@ -195,7 +191,7 @@ def corpus_stats(spark, folder):
 def hash_embeddings(spark, folder):
     embed = hash_embedding(VECTOR_SIZE)
     docs = b.raw_documents(spark, folder)
-    return docs.select("doc_id", F.posexplode(embed(F.col("text_en"))).alias("pos", "v")).select(
+    return tx.explode_once(docs, embed(F.col("text_en")), "v", "pos").select(
         "doc_id", "pos", F.round("v", 6).alias("value")
     )
 
@@ -359,9 +355,9 @@ def entity_mentions(spark, folder):
 def entity_fuzzy(spark, folder):
     """The words of the benchmark texts against the English titles."""
     registry = entities.build_entities(b.corpus(spark, folder))
-    values = b.table(spark, folder, "benchmark").select(
-        F.lit("en").alias("game_id"), F.explode(tx.words(F.col("text"))).alias("value")
-    )
+    values = tx.explode_once(
+        b.table(spark, folder, "benchmark"), tx.words(F.col("text")), "value"
+    ).withColumn("game_id", F.lit("en"))
     return entities.fuzzy_lookup(registry, values)
 
 

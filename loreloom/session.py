@@ -49,6 +49,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a small scan among all cores.
+
+    A table of a few files (or one row group) would keep one task busy with all the text work. A
+    scan that already has several partitions per core, as any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, kept in the shared folder, safe when executors go."""
     shared_folder(df.sparkSession)

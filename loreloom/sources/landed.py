@@ -28,12 +28,8 @@ def category_refs(
 
     `ord` numbers the responses; a title's place is its response, then its place in it.
     """
-    rows = listings.select(
-        "ord", "category", "content_type",
-        F.posexplode(F.from_json("payload", CATEGORY_LISTING)["query"]["categorymembers"]).alias(
-            "pos", "member"
-        ),
-    ).select(
+    members = F.from_json("payload", CATEGORY_LISTING)["query"]["categorymembers"]
+    rows = tx.explode_once(listings, members, "member", "pos").select(
         (F.col("ord") * 1_000_000 + F.col("pos")).alias("ord"), "category", "content_type",
         F.col("member.title").alias("title"),
     )
@@ -43,9 +39,8 @@ def category_refs(
 
 def page_refs(listings: DataFrame, source_id: str, base_url: str) -> DataFrame:
     """All-pages listings (ord, payload) to references; the type comes from title and categories."""
-    rows = listings.select(
-        "ord", F.posexplode(F.from_json("payload", PAGE_LISTING)["query"]["pages"]).alias("pos", "p")
-    ).select(
+    pages = F.from_json("payload", PAGE_LISTING)["query"]["pages"]
+    rows = tx.explode_once(listings, pages, "p", "pos").select(
         (F.col("ord") * 1_000_000 + F.col("pos")).alias("ord"),
         F.col("p.title").alias("title"),
         F.array_join(F.col("p.categories.title"), " ").alias("categories"),
