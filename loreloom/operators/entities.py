@@ -177,11 +177,23 @@ def _segments(length: Column, edits: Column) -> Column:
 
 
 def _near_candidates(values: DataFrame, names: DataFrame, miss: float) -> DataFrame:
-    """Pairs that can differ by at most `miss` of their joint length, in word order or sorted."""
+    """Pairs that can differ by at most `miss` of their joint length, in word order or sorted.
+
+    For a name of length `size` and a value of length `other` that leaves `edits` insertions and
+    deletions, one of `edits + 1` segments of the name occurs unchanged in the value, moved by no
+    more than the deletions to the left or the insertions to the right.
+    """
     reach = (1 + miss) / (1 - miss)  # largest length ratio
 
-    def edits(size: Column) -> Column:
-        return F.floor(size * (miss * (1 + reach)) + 1e-9).cast("int")
+    def edits(size: Column, other: Column) -> Column:
+        return F.floor((size + other) * miss + 1e-9).cast("int")
+
+    def lengths(size: Column) -> Column:
+        near = F.sequence(
+            F.greatest(F.lit(1), F.floor(size / reach).cast("int")),
+            F.ceil(size * reach).cast("int"),
+        )
+        return F.filter(near, lambda n: F.abs(n - size) <= edits(size, n))
 
     def forms(text: Column) -> Column:
         words = F.split(text, " ")
@@ -193,55 +205,49 @@ def _near_candidates(values: DataFrame, names: DataFrame, miss: float) -> DataFr
             )
         )
 
-    indexed = (
-        names.select("game_id", "name", F.explode(forms(F.col("name"))).alias("text"))
-        .withColumn("size", F.length("text"))
-        .withColumn("s", F.explode(_segments(F.col("size"), edits(F.col("size")))))
-        .select(
-            "game_id", "name", "size", F.col("s.no").alias("no"),
-            F.expr("substring(text, s.start + 1, s.size)").alias("part"),
-        )
-    )
-
-    def probes(text: Column) -> Column:
-        sizes = F.sequence(
-            F.greatest(F.lit(1), F.floor(F.length(text) / reach).cast("int")),
-            F.ceil(F.length(text) * reach).cast("int"),
-        )
-
+    def probes(text: Column, other: Column) -> Column:
         def of_size(size: Column) -> Column:
-            return F.flatten(
-                F.transform(
-                    _segments(size, edits(size)), lambda s: of_segment(size, s)
-                )
+            return tx.let(
+                edits(size, other),
+                lambda d: F.flatten(
+                    F.transform(_segments(size, d), lambda s: of_segment(size, d, s))
+                ),
             )
 
-        def of_segment(size: Column, s: Column) -> Column:
-            low = F.greatest(F.lit(0), s["start"] - edits(size))
-            high = F.least(F.length(text) - s["size"], s["start"] + edits(size))
-            return F.when(
-                low <= high,
-                F.transform(
-                    F.sequence(low, F.greatest(low, high)),
-                    lambda p: F.struct(
-                        size.alias("size"), s["no"].alias("no"),
-                        F.substring(text, p + 1, s["size"]).alias("part"),
-                    ),
+        def of_segment(size: Column, d: Column, s: Column) -> Column:
+            left = F.floor((d - (other - size)) / 2).cast("int")
+            right = F.floor((d + (other - size)) / 2).cast("int")
+            low = F.greatest(F.lit(0), s["start"] - left)
+            high = F.least(other - s["size"], s["start"] + right)
+            found = F.transform(
+                F.sequence(low, F.greatest(low, high)),
+                lambda p: F.struct(
+                    size.alias("size"), s["no"].alias("no"),
+                    F.substring(text, p + 1, s["size"]).alias("part"),
                 ),
-            ).otherwise(
+            )
+            return F.when(low <= high, found).otherwise(
                 F.array().cast("array<struct<size:int,no:int,part:string>>")
             )
 
-        return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
+        return F.array_distinct(F.flatten(F.transform(lengths(other), of_size)))
 
-    asked = (
-        values.select("game_id", "value", F.explode(forms(F.col("value"))).alias("text"))
-        .transform(lambda rows: tx.explode_once(rows, probes(F.col("text")), "p"))
-        .select("game_id", "value", "p.size", "p.no", "p.part")
+    indexed = names.select("game_id", "name", F.explode(forms(F.col("name"))).alias("text"))
+    indexed = indexed.withColumn("size", F.length("text"))
+    indexed = tx.explode_once(indexed, lengths(F.col("size")), "other")
+    indexed = tx.explode_once(
+        indexed, _segments(F.col("size"), edits(F.col("size"), F.col("other"))), "s"
+    ).select(
+        "game_id", "name", "size", "other", F.col("s.no").alias("no"),
+        F.expr("substring(text, s.start + 1, s.size)").alias("part"),
     )
-    return join_small(indexed, asked, ["game_id", "size", "no", "part"]).select(
-        "game_id", "value", "name"
+    asked = values.select("game_id", "value", F.explode(forms(F.col("value"))).alias("text"))
+    asked = asked.withColumn("other", F.length("text"))
+    asked = tx.explode_once(asked, probes(F.col("text"), F.col("other")), "p").select(
+        "game_id", "value", "other", "p.size", "p.no", "p.part"
     )
+    keys = ["game_id", "size", "other", "no", "part"]
+    return join_small(asked, indexed, keys).select("game_id", "value", "name")
 
 
 def _shared_word_candidates(values: DataFrame, names: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loreloom.functions import fixed
 from loreloom.functions import text as tx
 from loreloom.operators.numbering import nearest_rank
+from loreloom.session import materialise
 
 STRINGS = "array<string>"
 
@@ -108,10 +109,12 @@ def retrieval_cases(attached: DataFrame) -> DataFrame:
 
 def retrieval_metrics(cases: DataFrame) -> DataFrame:
     """One row overall (category null, is_overall) and one per category."""
+    cases = materialise(cases.drop("results"))
     rank = F.col("first_rank")
 
     def share(condition: Column) -> Column:
-        return F.coalesce(F.round(F.avg(F.coalesce(condition, F.lit(False)).cast("int")), 6), F.lit(0.0))
+        hit = F.coalesce(condition, F.lit(False)).cast("int")
+        return F.coalesce(F.round(F.avg(hit), 6), F.lit(0.0))
 
     def mean(value: Column) -> Column:
         return F.coalesce(F.round(F.avg(value), 6), F.lit(0.0))

@@ -67,8 +67,7 @@ def merge_candidates(vector_rows: DataFrame, lexical_rows: DataFrame) -> DataFra
 
 def with_payload(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """Attach the chunk columns. The few found rows are sent to the chunks, not the reverse."""
-    payload = chunks.drop("ord")
-    return join_small(payload, found, ["chunk_id"])
+    return join_small(chunks.drop("ord"), materialise(found), ["chunk_id"])
 
 
 def search(
@@ -102,7 +101,7 @@ def search(
             F.lit(0).alias("list_no"), F.col("rank").alias("list_rank"),
         )
     rows = join_small(
-        with_payload(materialise(found), base.chunks), asked.select("query_id", "query"),
+        with_payload(found, base.chunks), asked.select("query_id", "query"),
         ["query_id"],
     )
     if hybrid:

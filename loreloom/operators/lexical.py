@@ -109,15 +109,17 @@ def build_index(chunks: DataFrame, vocabulary: list[str] | None = None) -> Lexic
     With a vocabulary, only its terms are kept; lengths and counts stay those of the full text.
     """
 
-    def summary(tokens: Column) -> Column:
-        kept = tokens
-        if vocabulary is not None:
-            kept = F.filter(tokens, lambda t: t.isin(vocabulary))
-        return F.struct(F.size(tokens).alias("length"), term_counts(kept).alias("terms"))
-
+    kept = F.col("__tokens")
+    if vocabulary is not None:
+        # Tokens hold word characters only, so they can stand in a statement as they are.
+        listed = ", ".join(f"'{t}'" for t in vocabulary) or "''"
+        kept = F.expr(f"filter(__tokens, t -> t IN ({listed}))")
     rows = chunks.select(
-        "chunk_id", "ord", "game_id", tx.let(tx.tokens(index_text()), summary).alias("__s")
-    ).select("chunk_id", "ord", "game_id", "__s.length", "__s.terms")
+        "chunk_id", "ord", "game_id", tx.tokens(index_text()).alias("__tokens")
+    ).select(
+        "chunk_id", "ord", "game_id", F.size("__tokens").alias("length"),
+        term_counts(kept).alias("terms"),
+    )
     terms = materialise(rows)
     row = LexicalIndex(terms, 0, 0.0).statistics().first()
     return LexicalIndex(terms, row["total_documents"], row["average_length"])

@@ -15,7 +15,7 @@ from loreloom.operators import (
     rerank, rewrite, sections, vector,
 )
 from loreloom.plans import bindings as b
-from loreloom.session import scratch_path
+from loreloom.session import materialise, scratch_path
 from loreloom.sources import files, landed
 from loreloom.streaming import jobs
 
@@ -405,7 +405,7 @@ def retrieval_metrics(spark, folder):
 def eval_report(spark, folder):
     """Report written to the shared folder and read back."""
     path = scratch_path(spark, "report")
-    cases = _evaluated(spark, folder)
+    cases = materialise(_evaluated(spark, folder))
     files.write_report(evals.retrieval_metrics(cases), evals.retrieval_report(cases), path)
     return spark.read.json(f"{path}/cases").select(
         "case_id", "query", "game_id", F.array_join("top_titles", "|").alias("top_titles"),

@@ -62,9 +62,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, kept in the shared folder, safe when executors go."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and go on from a table written to the shared folder.
+
+    The table is columnar, so later steps read only the columns they use; it has measured sizes
+    and it outlives the executors that wrote it.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(
@@ -82,16 +87,18 @@ def fits_broadcast(
 
 
 def join_small(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 32
+    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16
 ) -> DataFrame:
     """Equi-join with the side expected to be small.
 
-    Within the measured bound it is broadcast, and `big` keeps its place. Beyond it, `big` is
-    spread over `salts` slices per key and the other side repeated per slice, so that no key,
+    A side within the measured bound is broadcast, and the other keeps its place. Beyond it, `big`
+    is spread over `salts` slices per key and the other side repeated per slice, so that no key,
     however frequent, lands in one task. `how` may be inner, left or left_semi.
     """
     if fits_broadcast(small):
         return big.join(F.broadcast(small), on, how)
+    if how == "inner" and fits_broadcast(big):
+        return F.broadcast(big).join(small, on)
     slice_of = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts))
     left = big.withColumn("__slice", slice_of.cast("int"))
     right = small.withColumn(
