@@ -21,6 +21,7 @@ from loreloom.operators.topk import first_by, top_k
 from loreloom.session import join_small, materialise
 
 HEAD = 4
+STRETCH = 256
 ENTITY_COLUMNS = [
     "game_id", "canonical_name", "normalized_name", "content_type", "source_url", "aliases",
 ]
@@ -103,27 +104,40 @@ def substrings_like(haystacks: DataFrame, text: str, needles: DataFrame, name: s
     The haystack column itself is replaced by these substrings.
     """
     fragments = materialise(_fragments(needles, name))
-    longest = fragments.agg(F.max("size")).first()[0] or 0
+    longest, shapes = fragments.agg(
+        F.max("size"), F.collect_set(F.length("head"))
+    ).first()
     keep = [c for c in haystacks.columns if c != text]
     if not longest:
         return haystacks.limit(0).select(
             *keep, F.lit(0).alias("at"), F.col(text).alias("found")
         )
-    starts = F.transform(
-        F.sequence(F.lit(1), F.length(F.col(text))),
-        lambda p: F.struct(
-            p.alias("at"), F.substring(F.col(text), p, F.lit(longest)).alias("rest")
+    # Reaching a position in a string means walking to it; stretches keep these walks short.
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.length(F.col(text)) - 1, F.lit(STRETCH)),
+        lambda s: F.struct(
+            s.alias("skip"),
+            F.substring(F.col(text), s + 1, F.lit(STRETCH + longest)).alias("part"),
         ),
     )
-    windows = tx.explode_once(haystacks.filter(F.col(text) != ""), starts, "__w").select(
-        *keep, "__w.at", "__w.rest"
+    rows = tx.explode_once(haystacks.filter(F.col(text) != ""), stretches, "__s").select(
+        *keep, "__s.skip", "__s.part"
     )
-    heads = F.array_distinct(
-        F.array(*[F.substring(F.col("rest"), 1, n) for n in range(1, HEAD + 1)])
+    starts = F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(STRETCH), F.length("part"))),
+        lambda p: F.struct(
+            (F.col("skip") + p).alias("at"),
+            F.substring(F.col("part"), p, F.lit(longest)).alias("rest"),
+        ),
     )
+    windows = tx.explode_once(rows, starts, "__w").select(*keep, "__w.at", "__w.rest")
+    heads = F.array(*[F.substring("rest", 1, n) for n in sorted(shapes)])
     windows = tx.explode_once(windows, heads, "head")
     met = join_small(windows, fragments, ["game_id", "head"])
-    return met.filter(F.length("rest") >= F.col("size")).select(
+    whole = (F.length("rest") >= F.col("size")) & (
+        F.length("head") == F.least(F.col("size"), F.lit(HEAD))
+    )
+    return met.filter(whole).select(
         *keep, "at", F.expr("substring(rest, 1, size)").alias("found")
     )
 

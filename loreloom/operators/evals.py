@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,21 +121,23 @@ def retrieval_metrics(cases: DataFrame) -> DataFrame:
     def mean(value: Column) -> Column:
         return F.coalesce(F.round(F.avg(value), 6), F.lit(0.0))
 
-    overall = F.grouping("category") == 1
     stated = F.col("states_source")
-    metrics = {
-        "total": F.count(F.lit(1)),
-        "hit_at_1": F.when(overall, share(rank == 1)).otherwise(share(F.col("hit_at_1"))),
-        "hit_at_3": share(rank <= 3),
-        "hit_at_5": F.when(overall, share(rank <= 5)).otherwise(share(F.col("hit_at_5"))),
-        "mrr": mean(F.when(rank <= 5, 1 / rank).otherwise(0.0)),
-        "coverage_at_5": mean(F.col("coverage_at_5")),
-        "term_coverage_at_5": mean(F.col("term_coverage_at_5")),
-        "tenant_isolation": share(F.col("tenant_isolated")),
-        "source_hit_at_5": mean(F.when(stated, F.col("source_hit_at_5").cast("int"))),
-        "source_expectation_total": F.count_if(stated),
-        "avg_latency_ms": mean(F.col("latency_ms").cast("double")),
-    }
+
+    def metrics(overall: bool) -> dict[str, Column]:
+        return {
+            "total": F.count(F.lit(1)),
+            "hit_at_1": share(rank == 1 if overall else F.col("hit_at_1")),
+            "hit_at_3": share(rank <= 3),
+            "hit_at_5": share(rank <= 5 if overall else F.col("hit_at_5")),
+            "mrr": mean(F.when(rank <= 5, 1 / rank).otherwise(0.0)),
+            "coverage_at_5": mean(F.col("coverage_at_5")),
+            "term_coverage_at_5": mean(F.col("term_coverage_at_5")),
+            "tenant_isolation": share(F.col("tenant_isolated")),
+            "source_hit_at_5": mean(F.when(stated, F.col("source_hit_at_5").cast("int"))),
+            "source_expectation_total": F.count_if(stated),
+            "avg_latency_ms": mean(F.col("latency_ms").cast("double")),
+        }
+
     grouped = _overall_and_categories(cases, metrics)
     p95 = nearest_rank(
         cases.select(F.col("latency_ms").cast("double").alias("v")), "v", 0.95, name="p95"
@@ -143,17 +147,20 @@ def retrieval_metrics(cases: DataFrame) -> DataFrame:
     ).drop("p95")
 
 
-def _overall_and_categories(rows: DataFrame, metrics: dict[str, Column]) -> DataFrame:
-    """Grouping sets (), (category); rows without a category count overall only."""
-    named = rows.withColumn("category", F.nullif(F.col("category"), F.lit("")))
-    return (
-        named.rollup("category")
-        .agg(
-            (F.grouping("category") == 1).alias("is_overall"),
-            *[value.alias(name) for name, value in metrics.items()],
-        )
-        .filter(F.col("is_overall") | F.col("category").isNotNull())
+def _overall_and_categories(
+    rows: DataFrame, metrics: Callable[[bool], dict[str, Column]]
+) -> DataFrame:
+    """One row over everything, also when there is nothing, and one per named category."""
+
+    def columns(overall: bool) -> list[Column]:
+        return [value.alias(name) for name, value in metrics(overall).items()]
+
+    everything = rows.agg(*columns(True)).select(
+        F.lit(None).cast("string").alias("category"), F.lit(True).alias("is_overall"), "*"
     )
+    named = rows.filter(F.col("category").isNotNull() & (F.col("category") != ""))
+    each = named.groupBy("category").agg(F.lit(False).alias("is_overall"), *columns(False))
+    return everything.unionByName(each)
 
 
 # ---- answers ---------------------------------------------------------------
@@ -218,7 +225,7 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
 
     return _overall_and_categories(
         rows,
-        {
+        lambda _: {
             "total": F.count(F.lit(1)),
             "source_presence": share(F.size("source_titles") > 0),
             "source_hit": share(F.col("source_hit")),
@@ -242,7 +249,7 @@ def tool_metrics(rows: DataFrame) -> DataFrame:
     passed = F.col("expected_tool").eqNullSafe(F.col("selected_tool")).cast("int")
     return _overall_and_categories(
         rows,
-        {
+        lambda _: {
             "total": F.count(F.lit(1)),
             "accuracy": F.coalesce(F.round(F.avg(passed), 6), F.lit(0.0)),
             "avg_latency_ms": F.coalesce(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.functions import text as tx
-from loreloom.session import join_small, spread
+from loreloom.session import join_small, materialise, spread
 
 
 # Tables with text or vectors to work on, and the column they are spread by.
@@ -24,7 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def first_words(text, n: int):
-    return F.array_join(F.slice(tx.words(text), 1, n), " ")
+    """The first n words joined by a space; the rest of the text is not looked at."""
+    opening = F.regexp_extract(
+        text, r"^(?:[^\p{L}\p{N}_]*[\p{L}\p{N}_]+){1,%d}" % n, 0
+    )
+    return F.array_join(tx.words(opening), " ")
 
 
 def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,17 +211,18 @@ def golden_cases(spark: SparkSession, folder: str) -> DataFrame:
     words = tx.words(F.col("text"))
     items = table(spark, folder, "benchmark").select(
         "item_id", F.col("text").alias("item"),
-        F.array_join(F.slice(words, 2, GOLDEN_WORDS), " ").alias("key"),
+        F.xxhash64(F.slice(words, 2, GOLDEN_WORDS)).alias("key"),
     )
-    docs = raw_documents(spark, folder)
-    runs = docs.select("title", "source_id", "text_en", tx.words(F.col("text_en")).alias("w"))
+    docs = raw_documents(spark, folder).select("ord", "title", "source_id", "text_en")
+    runs = docs.select("ord", tx.words(F.col("text_en")).alias("w"))
     windows = F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (GOLDEN_WORDS - 1))),
-        lambda i: F.array_join(F.slice("w", i, GOLDEN_WORDS), " "),
+        lambda i: F.xxhash64(F.slice("w", i, GOLDEN_WORDS)),
     )
-    keyed = tx.explode_once(runs, F.array_distinct(windows), "key").drop("w")
+    keyed = tx.explode_once(runs, windows, "key").select("ord", "key")
+    pairs = materialise(join_small(keyed, items, ["key"]).drop("key").distinct())
     expected = (
-        join_small(keyed, items, ["key"])
+        join_small(docs, pairs, ["ord"])
         .filter(F.contains("text_en", F.col("item")))
         .groupBy("item_id")
         .agg(
