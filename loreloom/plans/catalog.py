@@ -524,9 +524,9 @@ def tool_evidence(spark, folder):
 
 
 @query
-def request_pipeline(spark, folder):
+def request_answers(spark, folder):
     """Requests through routing, guard, memory, retrieval, prompt and trace columns."""
-    from loreloom.plans.pipeline import answer_requests
+    from loreloom.plans.request_flow import answer_requests
 
     chunks = b.game_corpus(spark, folder)
     embed = hash_embedding(VECTOR_SIZE)

@@ -111,9 +111,9 @@ def limited_requests(
         numbered = requests.rate_limit(batch, per_minute, per_day)
         if number:
             days = [r[0] for r in batch.select(day.alias("d")).distinct().collect()]
-            before = session.read.option("basePath", f"{root}/totals").parquet(
-                *[f"{root}/totals/batch={n}" for n in range(number)]
-            ).filter(F.col("day").isin(days))
+            before = session.read.parquet(f"{root}/totals").filter(
+                (F.col("batch") < number) & F.col("day").isin(days)
+            )
             by_minute = before.groupBy("client", F.col("minute").alias("__m")).agg(
                 F.sum("n").alias("__minute_before")
             )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loreloom.functions import fixed
 from loreloom.operators import evals, numbering, requests
-from loreloom.plans.pipeline import answer_requests
+from loreloom.plans.request_flow import answer_requests
 
 from test_search import chunk, chunks_of, queries_of, registry
 
@@ -234,7 +234,7 @@ def test_tool_metrics(spark):
     assert got == {None: (3, 0.666667), "c": (2, 1.0), "d": (1, 0.0)}
 
 
-def test_request_pipeline(spark):
+def test_request_answers(spark):
     from loreloom.functions.embedding import hash_embedding
     from loreloom.operators import hybrid
 
