@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.llm.bpe import encode_texts
+from loreloom.llm.common import keyed
+from loreloom.llm.exact import exact_groups, normalised
+from loreloom.llm.jaccard import near_duplicates
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,13 +33,40 @@ def digested(df: DataFrame) -> DataFrame:
     )
 
 
+def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = keyed(table(spark, folder, "documents").select("doc_id", "text"))
+    digests = docs.select("row_key", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    groups = exact_groups(docs)
+    return groups.join(digests, "row_key").select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
+    )
+
+
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = keyed(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = near_duplicates(docs, width=3, percent=90)
+    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return digested(encode_texts(docs, vocabulary_path()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": r"""
+        WITH clean AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body
+            FROM documents
+        )
+        SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+            doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+        FROM clean WINDOW same AS (PARTITION BY body)
+    """,
+}
