@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 32 << 20
 
+# Remove the shuffle files of a finished query at once.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[*]", app: str = "loreloom", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; the cluster's own settings win elsewhere."""
@@ -65,11 +68,20 @@ def materialise(df: DataFrame) -> DataFrame:
     """Compute once and go on from a table written to the shared folder.
 
     The table is columnar, so later steps read only the columns they use; it has measured sizes
-    and it outlives the executors that wrote it.
+    and it outlives the executors that wrote it. The shuffle files behind it go when it is written.
     """
-    path = scratch_path(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(
