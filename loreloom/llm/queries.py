@@ -11,6 +11,7 @@ from loreloom.llm.bpe import encode_texts
 from loreloom.llm.common import keyed
 from loreloom.llm.exact import exact_groups, normalised
 from loreloom.llm.jaccard import near_duplicates
+from loreloom.llm.substrings import drop_repeats
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,10 +54,18 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digested(encode_texts(docs, vocabulary_path()))
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = keyed(table(spark, folder, "documents").select("doc_id", "text"))
+    return drop_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
