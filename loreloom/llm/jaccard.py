@@ -6,9 +6,11 @@ of their shingles in any common order; frequent shingles come last in ours. Each
 tile per such shingle and band of set sizes (and, if partners may lie there, to the next band), so
 every pair of similar classes meets in a tile. In a tile
 
-1. each class is compared with one centre only, the smallest class of the tile it shares most with;
-   this joins groups of near copies, however large, in as many comparisons as they have members;
-2. classes of different components are compared with each other; a tile whose members are all
+1. each class is compared with one centre only, a class that shares many tiles and so stands in the
+   middle of its group; this joins large groups of near copies in as many comparisons as they have
+   members;
+2. classes outside the largest component of a tile are compared with a centre of that component;
+3. classes of different components are compared with each other; a tile whose members are all
    connected already has nothing left to do.
 
 A comparison first bounds the overlap from above by the bit counts of hashed bitmaps, then
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.llm.common import groups_of_rows, keyed
@@ -213,6 +215,35 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def _best_centre(seats: DataFrame) -> DataFrame:
+    """(a, b): of the centres `b` of the tiles of a class, the one of most tiles."""
+    return (
+        seats.groupBy("cls", "b").agg(F.count(F.lit(1)).alias("c"))
+        .groupBy("cls").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+        .select(F.col("cls").alias("a"), "b")
+    )
+
+
+def _open_seats(seats: DataFrame, labels: DataFrame) -> DataFrame:
+    """Seats of the tiles that hold several components, with their own, the largest, and its centre."""
+    placed = seats.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "tile", "cls", "n", "w", "upto", "rest", F.coalesce("label", "cls").alias("label")
+    )
+    parts = placed.groupBy("tile", "label").agg(
+        F.count(F.lit(1)).alias("c"), F.max_by("cls", "w").alias("centre")
+    )
+    mixed = materialise(
+        parts.groupBy("tile")
+        .agg(
+            F.count(F.lit(1)).alias("parts"),
+            F.max_by(F.struct("label", "centre"), F.struct("c", "label")).alias("top"),
+        )
+        .filter("parts > 1")
+        .select("tile", F.col("top.label").alias("main"), F.col("top.centre").alias("centre"))
+    )
+    return materialise(placed.drop("w").join(mixed, "tile"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of `docs` (row_key, doc_id, text): row_key, doc_id, n_shingles, component, kept.
 
@@ -235,50 +266,69 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         )
         .withColumn("cls", F.monotonically_increasing_id())
     )
-    seats = classes.select("cls", F.explode("tiles").alias("tile"))
+    # The tiles of a class: one per token of its prefix, then as many as a guest of the next band.
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    seats = classes.select("cls", prefix.alias("p"), F.posexplode("tiles").alias("pos", "tile"))
+    seats = seats.select("cls", "tile", (F.col("pos") % F.col("p")).cast("int").alias("token"))
     tiles = materialise(
-        seats.groupBy("tile").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("centre"))
-        .filter("c > 1").select("tile", "centre")
+        seats.groupBy("tile").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tile")
     )
     seats = materialise(seats.join(tiles, "tile"))
-    nodes = seats.select("cls").distinct().join(
+    # A class with few shingles of its own has many shared tiles: it stands in the middle of a group.
+    shared = materialise(seats.groupBy("cls").agg(F.count(F.lit(1)).alias("shared")))
+    # Of the tokens two classes have in common, as many as the smaller `upto` come up to a shared one
+    # (all of them shared ones), and as many as the smaller `rest` after it.
+    seats = materialise(
+        seats.join(shared, "cls").join(classes.select("cls", "n"), "cls").select(
+            "tile", "cls", "n", F.struct("shared", -F.col("cls")).alias("w"),
+            F.dense_rank().over(Window.partitionBy("cls").orderBy("token")).alias("upto"),
+            (F.col("n") - F.col("token") - 1).alias("rest"),
+        )
+    )
+    nodes = shared.select("cls").join(
         classes.select("cls", F.col("head.row_key").alias("row_key")), "cls"
     )
     texts = materialise(docs.select("row_key", "text").join(nodes, "row_key").select("cls", "text"))
 
-    # First pass: each class with the centre it shares most tiles with.
-    near = (
-        seats.filter("cls != centre").groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("cls").agg(F.max_by("centre", F.struct("c", -F.col("centre"))).alias("b"))
-        .select(F.col("cls").alias("a"), "b")
-    )
-    first = materialise(_linked(_bounded(near, classes, percent), texts, width, percent))
-    labels = components(first)
+    def similar(pairs: DataFrame) -> DataFrame:
+        return materialise(_linked(_bounded(pairs, classes, percent), texts, width, percent))
 
-    # Second pass: members of a tile that are in different components so far.
-    placed = (
-        seats.select("tile", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("tile", "cls", F.coalesce("label", "cls").alias("label"))
-    )
-    shares = placed.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = materialise(
-        shares.groupBy("tile")
-        .agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main"))
-        .filter("parts > 1").select("tile", "main")
+    # First pass: each class with one centre of its tiles, the one it shares most tiles with.
+    centres = materialise(seats.groupBy("tile").agg(F.max_by("cls", "w").alias("b")))
+    near = _best_centre(seats.join(centres, "tile").filter("cls != b"))
+    links = similar(near)
+    labels = components(links)
+
+    # Second pass: classes outside the largest part of a tile with the centre of that part.
+    open_seats = _open_seats(seats, labels)
+    near = _best_centre(
+        open_seats.filter("label != main").select("tile", "cls", F.col("centre").alias("b"))
     )
-    open_seats = materialise(placed.join(mixed, "tile"))
+    more = similar(near)
+    if not more.isEmpty():
+        links = materialise(links.unionByName(more))
+        labels = components(links)
+        open_seats = _open_seats(seats, labels)
+
+    # Third pass: all members of a tile that are in different components so far.
     few = open_seats.filter("label != main").select(
-        "tile", F.col("cls").alias("x"), F.col("label").alias("label_x")
+        "tile", *[F.col(c).alias(f"{c}_x") for c in ("cls", "label", "n", "upto", "rest")]
     )
+    common = F.least("upto", "upto_x") + F.least("rest", "rest_x")
     pairs = (
-        few.join(open_seats, "tile")
-        .filter("label != label_x AND (label = main OR cls < x)")
-        .select(F.greatest("x", "cls").alias("a"), F.least("x", "cls").alias("b")).distinct()
+        few.join(
+            open_seats,
+            (few["tile"] == open_seats["tile"])
+            & F.expr("label != label_x AND (label = main OR cls < cls_x)")
+            & (F.least("n", "n_x") * 100 >= F.greatest("n", "n_x") * percent)
+            & (common * (100 + percent) >= (F.col("n") + F.col("n_x")) * percent),
+        )
+        .select(F.greatest("cls_x", "cls").alias("a"), F.least("cls_x", "cls").alias("b"))
+        .distinct()
     )
-    second = materialise(_linked(_bounded(pairs, classes, percent), texts, width, percent))
-    links = first.unionByName(second)
-    if not second.isEmpty():
-        labels = components(links)
+    more = similar(pairs)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     parts = classes.select("n", "d1", "d2", "cls", "head").join(
         labels.withColumnRenamed("node", "cls"), "cls", "left"
