@@ -12,6 +12,7 @@ from loreloom.llm.common import keyed
 from loreloom.llm.exact import exact_groups, normalised
 from loreloom.llm.jaccard import near_duplicates
 from loreloom.llm.substrings import drop_repeats
+from loreloom.llm.suffixes import drop_repeated_bytes
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +55,14 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digested(encode_texts(docs, vocabulary_path()))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = keyed(table(spark, folder, "documents").select("doc_id", "text"))
+    return drop_repeated_bytes(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = keyed(table(spark, folder, "documents").select("doc_id", "text"))
     return drop_repeats(docs).select(
@@ -65,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
