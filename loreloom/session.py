@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -17,6 +18,10 @@ DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def build_session(master: str = "local[*]", app: str = "loreloom", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; the cluster's own settings win elsewhere."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:  # for the Python workers of a local session
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *paths])
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
