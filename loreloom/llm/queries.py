@@ -13,6 +13,8 @@ from loreloom.llm.exact import exact_groups, normalised
 from loreloom.llm.jaccard import near_duplicates
 from loreloom.llm.substrings import drop_repeats
 from loreloom.llm.suffixes import drop_repeated_bytes
+from loreloom.llm.warc import archive_pages
+from loreloom.llm.wordpiece import count_pieces
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +65,17 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_pages(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return count_pieces(docs, vocabulary_path())
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = keyed(table(spark, folder, "documents").select("doc_id", "text"))
     return drop_repeats(docs).select(
@@ -75,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op8_warc": op8_warc,
+    "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

@@ -78,7 +78,8 @@ def repeated_runs(docs: DataFrame, unit: Unit) -> DataFrame:
     )
     reps = classes.select("anchor", "span", "c", "first.*")
     windows = materialise(_extended(docs, reps, unit))
-    shared = (
+    # Written, so that adaptive execution sees two shuffled sides and splits hot windows.
+    shared = materialise(
         windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("c"))
         .filter("c > 1").select("anchor", "window")
     )
