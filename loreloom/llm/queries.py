@@ -11,6 +11,7 @@ from loreloom.llm.bpe import encode_texts
 from loreloom.llm.common import keyed
 from loreloom.llm.exact import exact_groups, normalised
 from loreloom.llm.jaccard import near_duplicates
+from loreloom.llm.mainblocks import extract_main_text
 from loreloom.llm.substrings import drop_repeats
 from loreloom.llm.suffixes import drop_repeated_bytes
 from loreloom.llm.warc import archive_pages
@@ -65,6 +66,13 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_pages(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_html_text": op7_html_text,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
