@@ -14,6 +14,7 @@ from loreloom.llm.jaccard import near_duplicates
 from loreloom.llm.mainblocks import extract_main_text
 from loreloom.llm.substrings import drop_repeats
 from loreloom.llm.suffixes import drop_repeated_bytes
+from loreloom.llm.toxicity import held_out, score_texts
 from loreloom.llm.warc import archive_pages
 from loreloom.llm.wordpiece import count_pieces
 
@@ -66,6 +67,14 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_texts(docs, table(spark, folder, "labels").select("doc_id", "toxic"))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted", "worst_sentence", "worst_score"
+    )
+
+
 def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return extract_main_text(pages).select(
@@ -96,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
     "op7_html_text": op7_html_text,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
