@@ -35,6 +35,13 @@ def keyed(df: DataFrame, name: str = "row_key") -> DataFrame:
         return materialise(df).select(*columns, place)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """The rows under column names that clash with nothing, the names, and where each went."""
+    names = df.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    return df.toDF(*plain), names, dict(zip(names, plain, strict=True))
+
+
 def groups_of_rows(batches: Iterator, text: str, most: int = BATCH_BYTES) -> Iterator:
     """Cut Arrow batches into runs of rows with about `most` bytes of text (a longer text alone)."""
     for batch in batches:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import SPACES, keyed
+from loreloom.llm.common import SPACES, keyed, numbered
 from loreloom.session import materialise
 
 BLOCK_CHARS = 16_384
@@ -117,6 +117,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay, with their columns."""
-    rows = keyed(docs)
-    kept = exact_groups(rows, text, doc_id).filter("kept").select("row_key")
-    return rows.join(kept, "row_key", "left_semi").drop("row_key")
+    plain, names, at = numbered(docs)
+    rows = keyed(plain)
+    kept = exact_groups(rows, at[text], at[doc_id]).filter("kept").select("row_key")
+    return rows.join(kept, "row_key", "left_semi").drop("row_key").toDF(*names)

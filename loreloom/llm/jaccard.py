@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import groups_of_rows, keyed
+from loreloom.llm.common import groups_of_rows, keyed, numbered
 from loreloom.llm.components import components
 from loreloom.llm.hashing import U, mix, shingles
 from loreloom.session import materialise
@@ -350,9 +350,8 @@ def drop_near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """The rows of `docs` that stay, one of each component, with their columns."""
-    rows = keyed(docs)
-    plain = rows.select(
-        "row_key", F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")
-    )
+    shell, names, at = numbered(docs)
+    rows = keyed(shell)
+    plain = rows.select("row_key", F.col(at[doc_id]).alias("doc_id"), F.col(at[text]).alias("text"))
     kept = near_duplicates(plain, width, percent).filter("kept").select("row_key")
-    return rows.join(kept, "row_key", "left_semi").drop("row_key")
+    return rows.join(kept, "row_key", "left_semi").drop("row_key").toDF(*names)

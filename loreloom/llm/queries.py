@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loreloom.llm.bpe import encode_texts
 from loreloom.llm.common import keyed
+from loreloom.llm.decontaminate import contaminated
 from loreloom.llm.exact import exact_groups, normalised
 from loreloom.llm.jaccard import near_duplicates
 from loreloom.llm.mainblocks import extract_main_text
@@ -75,6 +76,11 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = keyed(table(spark, folder, "documents").select("doc_id", "text"))
+    return contaminated(docs, table(spark, folder, "benchmark")).drop("row_key")
+
+
 def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return extract_main_text(pages).select(
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_html_text": op7_html_text,
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
@@ -122,4 +129,51 @@ ORACLES: dict[str, str] = {
             doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
         FROM clean WINDOW same AS (PARTITION BY body)
     """,
+    # Fingerprints are left out: within the radius lies all that is similar enough.
+    "op6_decontamination": r"""
+        WITH bare AS (
+            SELECT doc_id, text, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')),
+                '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM documents
+        ), items AS (
+            SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')),
+                '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM benchmark
+        ), item_runs AS (
+            SELECT item_id, words, unnest(range(greatest(len(words) - 4, 1))) AS p,
+                len(words) AS n FROM items WHERE len(words) > 0
+        ), item_seeds AS (
+            SELECT item_id, n, p, least(n, 5) AS k, array_to_string(words[p + 1 : p + 5], ' ') AS s
+            FROM item_runs
+        ), widths AS (SELECT DISTINCT k FROM item_seeds
+        ), text_runs AS (
+            SELECT doc_id, k, words, unnest(range(greatest(len(words) - k + 1, 0))) AS q
+            FROM bare, widths
+        ), hits AS (
+            SELECT DISTINCT doc_id, item_id, n, words,
+                greatest(0, least(q - p, len(words) - n)) AS start
+            FROM text_runs t JOIN item_seeds i
+                ON t.k = i.k AND array_to_string(words[q + 1 : q + t.k], ' ') = i.s
+        ), windows AS (
+            SELECT row_number() OVER () AS win, doc_id, item_id, start, words[start + 1 : start + n] AS w
+            FROM hits
+        ), window_counts AS (
+            SELECT win, item_id, s, count(*) AS c FROM (
+                SELECT win, item_id, array_to_string(w[g + 1 : g + 5], ' ') AS s
+                FROM (SELECT win, item_id, w, unnest(range(greatest(len(w) - 4, 1))) AS g FROM windows)
+            ) GROUP BY ALL
+        ), item_counts AS (SELECT item_id, s, count(*) AS c FROM item_seeds GROUP BY ALL
+        ), scored AS (
+            SELECT a.win, sum(least(a.c, coalesce(b.c, 0))) AS common, sum(a.c) AS total,
+                any_value(a.item_id) AS item_id
+            FROM window_counts a LEFT JOIN item_counts b USING (item_id, s) GROUP BY a.win
+        ), rated AS (
+            SELECT doc_id, item_id, start, len(w) AS n_words,
+                common::DOUBLE / (total + size - common)::DOUBLE AS similarity
+            FROM scored JOIN windows USING (win, item_id)
+            JOIN (SELECT item_id, sum(c) AS size FROM item_counts GROUP BY item_id) USING (item_id)
+        )
+        SELECT doc_id, item_id, similarity, start, n_words FROM rated WHERE similarity >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+    """,
 }

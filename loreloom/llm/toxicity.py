@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loreloom.llm.common import groups_of_rows
+from loreloom.llm.common import groups_of_rows, numbered
 from loreloom.llm.hashing import LOWER, U, joined, mix, prefix_sums, run_hash
 
 PER_CLASS = 4_000
@@ -194,7 +194,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
 
 def score_texts(
-    docs: DataFrame, labels: DataFrame, text: str = "text", worst: bool = True
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
+    worst: bool = True,
 ) -> DataFrame:
     """All columns of `docs` with score (0 to 1), predicted (1 from 0.5 on) and the worst sentence.
 
@@ -206,7 +207,7 @@ def score_texts(
     added = ["score", "predicted", "worst_sentence", "worst_score"][: 4 if worst else 2]
     kinds = ["double", "integer", "integer", "double"]
     spark = docs.sparkSession
-    sample = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
+    sample = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     model = spark.sparkContext.broadcast(fit(*training_rows(sample, labels)))
     names = [c for c in docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in names])
@@ -237,3 +238,12 @@ def score_texts(
 def held_out(doc_id: str = "doc_id"):
     """Whether a row belongs to the fold whose labels are never learnt."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
+    """The rows of `docs` whose score is below 0.5, with their columns."""
+    shell, names, at = numbered(docs)
+    scored = score_texts(shell, labels, at[text], at[doc_id], worst=False)
+    return scored.filter("predicted = 0").drop("score", "predicted").toDF(*names)
