@@ -133,8 +133,8 @@ def occurrences(docs: DataFrame, unit: Unit) -> DataFrame:
     )
 
 
-def recurring(docs: DataFrame, unit: Unit) -> DataFrame:
-    """The occurrences of anchors that occur more than once, with `mixed`: not all spans are equal.
+def recurring(docs: DataFrame, unit: Unit, columns: list[str]) -> DataFrame:
+    """The occurrences of anchors that occur more than once; `mixed` says if their spans differ.
 
     Anchors are counted with partial sums before they are shuffled; the occurrences then meet the
     recurring anchors in a plain equi-join, whose hot keys adaptive execution splits.
@@ -148,7 +148,7 @@ def recurring(docs: DataFrame, unit: Unit) -> DataFrame:
         .filter("c > 1")
         .select("anchor", (F.col("least") != F.col("most")).alias("mixed"))
     )
-    return materialise(all_found.join(often, "anchor"))
+    return materialise(all_found.join(often, "anchor").select(*columns))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

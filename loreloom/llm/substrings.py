@@ -68,7 +68,9 @@ def _extended(docs: DataFrame, reps: DataFrame, unit: Unit) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, unit: Unit) -> DataFrame:
     """(row_key, start, end) runs of symbols covered by windows that recur anywhere; runs overlap."""
-    seats = recurring(docs, unit)
+    seats = recurring(
+        docs, unit, ["anchor", "span", "row_key", "start", "owned", "lead", "mixed"]
+    )
     end = (F.col("start") + F.col("owned") - 1 + unit.length).alias("end")
     classes = materialise(
         seats.filter("mixed").groupBy("anchor", "span").agg(

@@ -226,7 +226,7 @@ def _laid_out(docs: DataFrame, reps: DataFrame, unit: Unit) -> DataFrame:
 
 
 def _sorted_repeats(laid: DataFrame, length: int) -> DataFrame:
-    """(row_key, start) of the windows of the given spans that also start earlier."""
+    """(row_key, start, end) runs of the given spans covered by windows that also start earlier."""
     key = laid.schema["row_key"].dataType.simpleString()
 
     def found(rows: list[dict]) -> pa.RecordBatch:
@@ -251,11 +251,16 @@ def _sorted_repeats(laid: DataFrame, length: int) -> DataFrame:
         rank = np.zeros(len(order), dtype=np.int64)
         rank[order] = np.cumsum(fresh)
         hit = repeated_starts([r["span"] for r in rows], marks, rank, length)
-        row = np.repeat(np.arange(len(rows)), sizes)[hit]
-        keys = pa.array([rows[i]["row_key"] for i in row], pa.struct(
-            [("f", pa.int64()), ("r", pa.int64())]
-        ))
-        return pa.RecordBatch.from_arrays([keys, pa.array(start[hit])], ["row_key", "start"])
+        row, start = np.repeat(np.arange(len(rows)), sizes)[hit], start[hit]
+        # Windows of a span that overlap or touch are one run.
+        fresh = np.r_[True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + length)][: len(row)]
+        last = np.r_[fresh[1:], True][: len(row)]
+        keys = pa.array(
+            [rows[i]["row_key"] for i in row[fresh]], pa.struct([("f", pa.int64()), ("r", pa.int64())])
+        )
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array(start[fresh]), pa.array(start[last] + length)], ["row_key", "start", "end"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -273,7 +278,7 @@ def _sorted_repeats(laid: DataFrame, length: int) -> DataFrame:
             yield found(held)
 
     dealt = laid.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
-    return dealt.mapInArrow(run, f"row_key {key}, start long")
+    return dealt.mapInArrow(run, f"row_key {key}, start long, end long")
 
 
 def earlier_runs(docs: DataFrame, unit: Unit) -> DataFrame:
@@ -282,7 +287,7 @@ def earlier_runs(docs: DataFrame, unit: Unit) -> DataFrame:
     Earlier is a smaller doc_id (null after all others), the place of the row for equal ids, and the
     smaller start within a row.
     """
-    seats = recurring(docs, unit)
+    seats = recurring(docs, unit, ["anchor", "span", "row_key", "doc_id", "start", "owned", "mixed"])
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key", "start")
     classes = materialise(
         seats.groupBy("anchor", "span", "mixed", "owned").agg(F.min(place).alias("first"))
@@ -300,9 +305,8 @@ def earlier_runs(docs: DataFrame, unit: Unit) -> DataFrame:
     reps = materialise(
         mixed.join(shards, "anchor").select("anchor", "first.row_key", "first.start", "owned", "shards")
     )
-    sorted_out = _sorted_repeats(_laid_out(docs, reps, unit), unit.length)
-    windows = sorted_out.select("row_key", "start", (F.col("start") + unit.length).alias("end"))
-    return copies.unionByName(windows)
+    found = materialise(_sorted_repeats(_laid_out(docs, reps, unit), unit.length))
+    return materialise(copies).unionByName(found)
 
 
 def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
