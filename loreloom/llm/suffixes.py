@@ -14,18 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreloom.llm.common import groups_of_rows
+from loreloom.llm.bpe import spans
 from loreloom.llm.hashing import U, prefix_sums, run_hash
 from loreloom.llm.repeats import Unit, merged, recurring
 from loreloom.session import materialise
 
-LENGTH, SEED = 100, 16
+LENGTH, SEED = 100, 32
 SPANS_PER_SHARD = 2048
-SORTED_AT_ONCE = 4 << 20
+SORTED_AT_ONCE = 2 << 20
 
 
 def _packed(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -78,9 +80,7 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     ends = np.flatnonzero(small)
     marked = np.flatnonzero(wanted[:size])
     stop = ends[np.searchsorted(ends, marked)]
-    cover = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(cover, marked, 1)
-    np.add.at(cover, stop + 1, -1)
+    cover = np.bincount(marked, minlength=size + 1) - np.bincount(stop + 1, minlength=size + 1)
     needed = np.cumsum(cover[:size]) > 0
     direct = _sorted_directly(text, np.flatnonzero(needed & small), depth)
     induced = needed & ~small
@@ -141,32 +141,49 @@ def common_prefix(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(out, most)
 
 
-def repeated_starts(spans: list[bytes], marks: list[np.ndarray], rank: np.ndarray, length: int):
-    """Which marked starts of the spans begin a string that begins earlier too.
+def repeated_starts(
+    data: np.ndarray, sizes: np.ndarray, marks: np.ndarray, counts: np.ndarray, rank: np.ndarray,
+    length: int,
+) -> np.ndarray:
+    """Which marked starts of spans begin a string that begins earlier too.
 
-    `rank` orders all marked starts, span by span, from the earliest; returned is one boolean each.
+    `data` holds the spans one after another, `marks` the places marked in each, `counts` of them;
+    `rank` orders all marked starts from the earliest.
     """
-    text = np.zeros(sum(len(s) + 1 for s in spans) + length + 16, dtype=np.uint8)
+    text = np.zeros(len(data) + len(sizes) + length + 16, dtype=np.uint8)
+    heads = np.cumsum(sizes + 1) - sizes - 1
+    text[spans(heads, sizes)] = data + 1
+    at = np.repeat(heads, counts) + marks
     wanted = np.zeros(len(text), dtype=bool)
-    number = np.zeros(len(text), dtype=np.int64)
-    at = done = 0
-    for span, mark in zip(spans, marks, strict=True):
-        text[at : at + len(span)] = np.frombuffer(span, dtype=np.uint8) + 1
-        wanted[at + mark] = True
-        number[at + mark] = done + np.arange(len(mark))
-        at += len(span) + 1
-        done += len(mark)
+    wanted[at] = True
+    number = np.zeros(len(text), dtype=np.int32)
+    number[at] = np.arange(len(at))
     order = suffix_order(text, wanted, length)
     equal = common_prefix(text, order, length) >= length
     run = np.cumsum(np.r_[False, ~equal]) if len(order) else np.zeros(0, dtype=np.int64)
     which = number[order]
     least = np.full(int(run[-1]) + 1 if len(run) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, run, rank[which])
-    out = np.zeros(done, dtype=bool)
+    out = np.zeros(len(at), dtype=bool)
     out[which] = rank[which] > least[run]
     return out
 
 
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of binaries, one after another, and how many each holds."""
+    _, offsets, data = column.buffers()
+    edge = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if len(column) else np.zeros(0, np.uint8)
+    return raw.view(kind), np.diff(edge).astype(np.int64) // np.dtype(kind).itemsize
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]
+    )
+
+
 def _laid_out(docs: DataFrame, reps: DataFrame, unit: Unit) -> DataFrame:
     """Spans as rows for sorting: (anchor, shard, row_key, doc_id, start, marks, bytes).
 
@@ -181,36 +198,44 @@ def _laid_out(docs: DataFrame, reps: DataFrame, unit: Unit) -> DataFrame:
         for batch, texts in groups_of_rows(batches, "text"):
             symbols, counts, (raw, _, _) = unit.symbols(texts)
             heads = np.cumsum(counts) - counts
-            rows: list[tuple] = []
-            sums = None
-            for i, seeds in enumerate(batch.column(2).to_pylist()):
-                for seed in seeds:
-                    low = int(heads[i]) + seed["start"]
-                    span = raw[low : low + seed["owned"] - 1 + unit.length].tobytes()
-                    every = np.arange(seed["owned"])
-                    if seed["shards"] == 1:
-                        rows.append((seed["anchor"], 0, i, seed["start"], every, span))
-                        continue
-                    if sums is None:
-                        sums = prefix_sums(symbols, base=1)
-                    window = run_hash(sums, low + every, low + every + unit.length, base=1)
-                    shard = (window % U(seed["shards"])).astype(np.int64)
-                    rows.extend(
-                        (seed["anchor"], int(s), i, seed["start"], every[shard == s], span)
-                        for s in np.unique(shard)
-                    )
-            for first in range(0, len(rows), 20_000):
-                anchor, shard, doc, start, marks, span = zip(
-                    *rows[first : first + 20_000], strict=True
-                )
-                whose = pa.array(doc, pa.int64())
+            seeds = batch.column(2)
+            per_text = np.diff(seeds.offsets.to_numpy())
+            flat = seeds.flatten()
+            anchor, start, owned, shards = (
+                flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)
+            )
+            doc = np.repeat(np.arange(len(texts)), per_text)
+            # A row per span, or per span and shard that some of its windows go to.
+            seat = np.repeat(np.arange(len(doc)), owned)
+            mark = np.arange(len(seat)) - np.repeat(np.cumsum(owned) - owned, owned)
+            shard = np.zeros(len(seat), dtype=np.int64)
+            many = np.flatnonzero(shards[seat] > 1)
+            if len(many):
+                low = (heads[doc] + start)[seat[many]] + mark[many]
+                sums = prefix_sums(symbols, base=1)
+                window = run_hash(sums, low, low + unit.length, base=1)
+                shard[many] = (window % shards[seat[many]].astype(U)).astype(np.int64)
+                order = np.lexsort((mark, shard, seat))
+                seat, mark, shard = seat[order], mark[order], shard[order]
+            edge = np.flatnonzero(
+                np.r_[True, (seat[1:] != seat[:-1]) | (shard[1:] != shard[:-1])][: len(seat)]
+            )
+            bounds = np.r_[edge, len(seat)]
+            marks = mark.astype(np.int16)
+            for first in range(0, len(edge), 10_000):
+                rows = np.arange(first, min(first + 10_000, len(edge)))
+                mine = seat[edge[rows]]
+                low = heads[doc[mine]] + start[mine]
+                size = owned[mine] - 1 + unit.length
+                whose = pa.array(doc[mine])
+                cut = marks[bounds[rows[0]] : bounds[rows[-1] + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(anchor, pa.int64()), pa.array(shard, pa.int64()),
+                        pa.array(anchor[mine]), pa.array(shard[edge[rows]]),
                         batch.column(0).take(whose), batch.column(1).take(whose),
-                        pa.array(start, pa.int64()),
-                        pa.array([m.astype(np.int16).tobytes() for m in marks], pa.binary()),
-                        pa.array(span, pa.binary()),
+                        pa.array(start[mine]),
+                        _binary(cut.view(np.uint8), np.diff(bounds[rows[0] : rows[-1] + 2]) * 2),
+                        _binary(raw[spans(low, size)], size),
                     ],
                     ["anchor", "shard", "row_key", "doc_id", "start", "marks", "span"],
                 )
@@ -229,53 +254,53 @@ def _sorted_repeats(laid: DataFrame, length: int) -> DataFrame:
     """(row_key, start, end) runs of the given spans covered by windows that also start earlier."""
     key = laid.schema["row_key"].dataType.simpleString()
 
-    def found(rows: list[dict]) -> pa.RecordBatch:
-        marks = [np.frombuffer(r["marks"], dtype=np.int16).astype(np.int64) for r in rows]
-        places = sorted(
-            range(len(rows)),
-            key=lambda i: (
-                rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0,
-                rows[i]["row_key"]["f"], rows[i]["row_key"]["r"],
-            ),
-        )
-        doc = np.zeros(len(rows), dtype=np.int64)
-        for place, i in enumerate(places):
-            last = places[place - 1]
-            same = place and rows[i]["row_key"] == rows[last]["row_key"]
-            doc[i] = doc[last] if same else place
-        sizes = np.array([len(m) for m in marks])
-        start = np.repeat([r["start"] for r in rows], sizes) + np.concatenate(marks)
-        order = np.lexsort((start, np.repeat(doc, sizes)))
-        line, whose = start[order], np.repeat(doc, sizes)[order]
-        fresh = np.r_[False, (line[1:] != line[:-1]) | (whose[1:] != whose[:-1])]
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        column = lambda name: rows[name].chunk(0)
+        f, r = (column("row_key").field(i).to_numpy() for i in range(2))
+        by_place = pa.table({"doc_id": column("doc_id"), "f": f, "r": r})
+        keys = [(name, "ascending") for name in by_place.column_names]
+        order = pc.sort_indices(by_place, keys, null_placement="at_end").to_numpy().astype(np.int64)
+        other = np.r_[False, (f[order][1:] != f[order][:-1]) | (r[order][1:] != r[order][:-1])]
+        doc = np.zeros(len(order), dtype=np.int64)
+        doc[order] = np.cumsum(other)
+        data, sizes = _flat(column("span"), np.uint8)
+        marks, counts = _flat(column("marks"), np.int16)
+        start = np.repeat(column("start").to_numpy(), counts) + marks
+        whose = np.repeat(doc, counts)
+        order = np.lexsort((start, whose))
+        fresh = np.r_[False, np.diff(start[order]) != 0] | np.r_[False, np.diff(whose[order]) != 0]
         rank = np.zeros(len(order), dtype=np.int64)
         rank[order] = np.cumsum(fresh)
-        hit = repeated_starts([r["span"] for r in rows], marks, rank, length)
-        row, start = np.repeat(np.arange(len(rows)), sizes)[hit], start[hit]
+        hit = repeated_starts(data, sizes, marks.astype(np.int64), counts, rank, length)
+        row, start = np.repeat(np.arange(len(sizes)), counts)[hit], start[hit]
         # Windows of a span that overlap or touch are one run.
         fresh = np.r_[True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + length)][: len(row)]
         last = np.r_[fresh[1:], True][: len(row)]
-        keys = pa.array(
-            [rows[i]["row_key"] for i in row[fresh]], pa.struct([("f", pa.int64()), ("r", pa.int64())])
-        )
+        keys = column("row_key").take(pa.array(row[fresh]))
         return pa.RecordBatch.from_arrays(
             [keys, pa.array(start[fresh]), pa.array(start[last] + length)], ["row_key", "start", "end"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size, last = 0, None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                group = (row["anchor"], row["shard"])
-                if size >= SORTED_AT_ONCE and group != last:
-                    yield found(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["span"])
-                last = group
+            held.append(batch)
+            size += batch.column(batch.schema.get_field_index("span")).nbytes
+            if size < SORTED_AT_ONCE:
+                continue
+            # All but the last shard, of which there may be more to come.
+            rows = pa.Table.from_batches(held)
+            anchor, shard = rows["anchor"].to_numpy(), rows["shard"].to_numpy()
+            whole = np.flatnonzero((anchor != anchor[-1]) | (shard != shard[-1]))
+            done = int(whole[-1]) + 1 if len(whole) else 0
+            if done:
+                yield found(rows.slice(0, done))
+            held = rows.slice(done).combine_chunks().to_batches()
+            size = sum(b.column(b.schema.get_field_index("span")).nbytes for b in held)
         if held:
-            yield found(held)
+            yield found(pa.Table.from_batches(held))
 
     dealt = laid.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
     return dealt.mapInArrow(run, f"row_key {key}, start long, end long")
