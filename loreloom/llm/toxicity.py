@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from loreloom.llm.common import groups_of_rows, numbered
 from loreloom.llm.hashing import LOWER, U, joined, mix, prefix_sums, run_hash
+from loreloom.session import materialise
 
 PER_CLASS = 4_000
 WORDS = 2_000
@@ -85,50 +86,36 @@ def noisy_or(scores: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
     return -np.expm1(np.bincount(owner, np.log1p(-np.minimum(scores, 1 - 1e-12)), minlength=count))
 
 
-def _telling_words(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray, weight: np.ndarray):
-    """The words whose presence differs most between toxic and other texts, by signed likelihood."""
-    order = np.lexsort((hashes, doc))
-    hashes, doc = hashes[order], doc[order]
-    once = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]
-    words, which = np.unique(hashes[once], return_inverse=True)
-    doc = doc[once]
-    seen = np.bincount(which, minlength=len(words))
-    some = [np.bincount(which, weight[doc] * side[doc], minlength=len(words)) for side in (toxic, 1 - toxic)]
-    total = [(weight * side).sum() for side in (toxic, 1 - toxic)]
-    share = [(s + 0.5) / (t + 1) for s, t in zip(some, total, strict=True)]
-    gap = np.abs(share[0] - share[1]) / np.sqrt((share[0] + share[1]) / np.minimum(*total))
-    gap[seen < LEAST_TEXTS] = 0
-    best = np.argsort(-gap, kind="stable")[:WORDS]
-    return np.sort(words[best[gap[best] > 0]])
-
-
-def fit(bags: list[tuple], toxic: np.ndarray, weight: np.ndarray) -> Model:
-    """Fit on texts given as (word hashes, sentence numbers), 1 for toxic ones, and their weights."""
-    count = len(bags)
-    if not count or toxic.min() == toxic.max():
-        base = float(toxic.mean()) if count else 0.0
-        return Model(np.zeros(0, U), np.zeros(0), 30.0 if base == 1 else -30.0)
-    hashes = np.concatenate([b[0] for b in bags])
-    sizes = np.array([len(b[0]) for b in bags])
-    per_text = np.array([int(b[1][-1]) + 1 if len(b[1]) else 0 for b in bags])
-    doc = np.repeat(np.arange(count), sizes)
-    sentence = np.concatenate([b[1] for b in bags]) + np.repeat(np.cumsum(per_text) - per_text, sizes)
-    owner = np.repeat(np.arange(count), per_text)
-    words = _telling_words(hashes, doc, toxic, weight)
-    at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-    known = words[at] == hashes if len(words) else np.zeros(len(hashes), dtype=bool)
-    at, sentence = at[known], sentence[known]
-    weight = weight / weight.sum()
+@dataclass(frozen=True)
+class Bags:
+    """Training texts: how many sentences each has; each known word, and in which sentence of all."""
+
+    sentences: np.ndarray
+    word: np.ndarray
+    sentence: np.ndarray
+    toxic: np.ndarray
+    weight: np.ndarray
+
+
+def fit(words: np.ndarray, bags: Bags) -> Model:
+    """The weights of the known words and of a sentence as such, by descent on the log loss of texts."""
+    count = len(bags.toxic)
+    if not count or bags.toxic.min() == bags.toxic.max():
+        only = bool(count) and bags.toxic[0] == 1
+        return Model(np.zeros(0, U), np.zeros(0), 30.0 if only else -30.0)
+    owner = np.repeat(np.arange(count), bags.sentences)
+    weight = bags.weight / bags.weight.sum()
     weights, bias = np.zeros(len(words)), -4.0
     moments = np.zeros((2, len(words) + 1))
     for step in range(1, ROUNDS + 1):
-        logit = bias + np.bincount(sentence, weights[at], minlength=len(owner))
+        logit = bias + np.bincount(bags.sentence, weights[bags.word], minlength=len(owner))
         score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         whole = np.clip(noisy_or(score, owner, count), 1e-9, 1 - 1e-9)
         # d loss / d logit of a sentence: its score if the text is clean, else less by its share.
-        slope = np.where(toxic == 1, -(1 - whole) / whole, 1.0) * weight
+        slope = np.where(bags.toxic == 1, -(1 - whole) / whole, 1.0) * weight
         slope = slope[owner] * score
-        grad = np.r_[np.bincount(at, slope[sentence], minlength=len(words)), slope.sum()]
+        by_word = np.bincount(bags.word, slope[bags.sentence], minlength=len(words))
+        grad = np.r_[by_word, slope.sum()]
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.99 * moments[1] + 0.01 * grad**2
         size = STEP / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
@@ -139,58 +126,100 @@ def fit(bags: list[tuple], toxic: np.ndarray, weight: np.ndarray) -> Model:
     return Model(words, weights, float(bias))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple:
-    """Bags, labels and weights of a bounded sample of the labelled texts outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict]:
+    """(doc_id, toxic, text) of a bounded sample of the labelled texts outside the held-out fold.
 
-    At most `per_class` texts of each label are taken, those of the smallest hash of their id; their
-    weights make up for what is left out. A doc_id labelled more than once counts as toxic if any
+    At most `per_class` texts of each label are taken, those of the smallest hash of their id; also
+    returned is how many there are of each. A doc_id labelled more than once counts as toxic if any
     label says so.
     """
     known = (
         labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic")).filter(f"crc32(cast(doc_id AS string)) % {FOLDS} != 0")
+        .agg(F.max("toxic").cast("int").alias("toxic"))
+        .filter(f"crc32(cast(doc_id AS string)) % {FOLDS} != 0")
     )
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     part = lambda k: (
         known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     )
-    sample = part(0).unionByName(part(1))
+    # The sample has at most 2 * per_class rows of two numbers: small enough to broadcast.
+    sample = F.broadcast(part(0).unionByName(part(1)))
+    return materialise(docs.join(sample, "doc_id").select("doc_id", "toxic", "text")), totals
+
+
+def telling_words(sample: DataFrame, words: int = WORDS) -> np.ndarray:
+    """The words whose share of toxic and of clean texts differs most, against chance; sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in groups_of_rows(batches, "text"):
+            toxic = batch.column(0).to_numpy()
             hashes, sentence, owner = sentence_words(texts)
             doc = owner[sentence] if len(hashes) else sentence
-            edge = np.searchsorted(doc, np.arange(len(texts) + 1))
-            rows = []
-            for i in range(len(texts)):
-                mine = slice(edge[i], edge[i + 1])
-                numbers = sentence[mine] - (sentence[edge[i]] if edge[i] < edge[i + 1] else 0)
-                rows.append((hashes[mine].tobytes(), numbers.astype(np.int32).tobytes()))
-            words, numbers = zip(*rows, strict=True)
+            order = np.lexsort((hashes, doc))
+            hashes, doc = hashes[order], doc[order]
+            once = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])][: len(doc)]
+            found, which = np.unique(hashes[once], return_inverse=True)
+            seen = np.bincount(which, minlength=len(found))
+            bad = np.bincount(which, toxic[doc[once]], minlength=len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.view(np.int64)), pa.array(bad), pa.array(seen - bad)], ["h", "bad", "good"]
+            )
+
+    sizes = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    bad, good = float(sizes[0]), float(sizes[1] - sizes[0])
+    share = lambda c, n: (F.col(c) + 0.5) / (n + 1)
+    both = share("bad", bad) + share("good", good)
+    gap = F.abs(share("bad", bad) - share("good", good)) / F.sqrt(both)
+    counted = (
+        sample.select("toxic", "text").mapInArrow(run, "h long, bad long, good long")
+        .groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        .filter(F.col("bad") + F.col("good") >= LEAST_TEXTS)
+    )
+    top = counted.orderBy(gap.desc(), "h").limit(words).select("h").toArrow()
+    return np.sort(top["h"].to_numpy().astype(np.int64).view(U))
+
+
+def training_bags(sample: DataFrame, totals: dict, words: np.ndarray) -> Bags:
+    """The sample in terms of the known words, with weights that make up for what is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in groups_of_rows(batches, "text"):
+            hashes, sentence, owner = sentence_words(texts)
+            at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
+            known = words[at] == hashes if len(words) else np.zeros(len(hashes), dtype=bool)
+            at, sentence = at[known], sentence[known]
+            doc = owner[sentence]
+            heads = np.searchsorted(owner, np.arange(len(texts)))
+            edge = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+            lists = lambda v: pa.ListArray.from_arrays(pa.array(edge), pa.array(v.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(words, pa.binary()),
-                    pa.array(numbers, pa.binary()),
+                    batch.column(0), batch.column(1),
+                    pa.array(np.bincount(owner, minlength=len(texts)).astype(np.int32)),
+                    lists(at), lists(sentence - heads[doc]),
                 ],
-                ["doc_id", "toxic", "words", "sentences"],
+                ["doc_id", "toxic", "sentences", "word", "sentence"],
             )
 
-    # The sample has at most 2 * per_class rows of two numbers: small enough to broadcast.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    table = (
-        chosen.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-        .mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, words binary, sentences binary")
-        .toArrow()
-    )
-    order = np.argsort(np.array(table["doc_id"].to_pylist(), dtype=object), kind="stable")
-    words, sentences = table["words"].to_pylist(), table["sentences"].to_pylist()
-    toxic = np.array(table["toxic"].to_pylist(), dtype=float)[order]
-    bags = [
-        (np.frombuffer(words[i], U), np.frombuffer(sentences[i], np.int32).astype(np.int64))
-        for i in order
-    ]
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    table = sample.mapInArrow(
+        run, f"doc_id {kind}, toxic int, sentences int, word array<int>, sentence array<int>"
+    ).toArrow().sort_by([("doc_id", "ascending"), ("sentences", "ascending")]).combine_chunks()
+    toxic = table["toxic"].to_numpy().astype(float)
+    sentences = table["sentences"].to_numpy().astype(np.int64)
+    per_text = table["word"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lambda c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.repeat(np.cumsum(sentences) - sentences, per_text)
     share = {k: totals.get(k, 0) / max((toxic == k).sum(), 1) for k in (0, 1)}
-    return bags, toxic, np.where(toxic == 1, share[1], share[0])
+    weight = np.where(toxic == 1, share[1], share[0])
+    return Bags(sentences, flat("word"), flat("sentence") + before, toxic, weight)
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """A model of `labels` (doc_id, toxic) over `docs` (doc_id, text)."""
+    sample, totals = labelled_sample(docs, labels, per_class)
+    words = telling_words(sample)
+    return fit(words, training_bags(sample, totals, words))
 
 
 def score_texts(
@@ -208,7 +237,7 @@ def score_texts(
     kinds = ["double", "integer", "integer", "double"]
     spark = docs.sparkSession
     sample = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    model = spark.sparkContext.broadcast(fit(*training_rows(sample, labels)))
+    model = spark.sparkContext.broadcast(train(sample, labels))
     names = [c for c in docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in names])
     for name, kind in zip(added, kinds[: len(added)], strict=True):
