@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.session import materialise
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 # Words are runs of anything but these six bytes; their patterns for the JVM.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -43,14 +45,11 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
 
 
 def groups_of_rows(batches: Iterator, text: str, most: int = BATCH_BYTES) -> Iterator:
-    """Cut Arrow batches into runs of rows with about `most` bytes of text (a longer text alone)."""
+    """Cut Arrow batches into runs of rows with about `most` bytes of text, and one text more."""
     for batch in batches:
-        values = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        start, size = 0, 0
-        for i, value in enumerate(values):
-            size += len(value) if value else 0
-            if size >= most:
-                yield batch.slice(start, i + 1 - start), values[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(values):
-            yield batch.slice(start), values[start:]
+        column = batch.column(batch.schema.get_field_index(text))
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        bucket = np.cumsum(sizes, dtype=np.int64) // most
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+        for start, end in zip(edges, [*edges[1:], len(bucket)], strict=True):
+            yield batch.slice(start, end - start), column.slice(start, end - start).to_pylist()

@@ -31,13 +31,13 @@ from loreloom.llm.components import components
 from loreloom.llm.hashing import U, mix, shingles
 from loreloom.session import materialise
 
-FREQUENT = 1 << 20
-COUNTED_AT_ONCE = 1 << 21
+FREQUENT = 1 << 19
+COUNTED_AT_ONCE = 1 << 20
 BAND = 1.5
 
 
 def frequent_shingles(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple:
-    """Shingles that recur within a stretch of about two million, with their counts; `most` at most.
+    """Shingles that recur within a stretch of about a million, with their counts; `most` at most.
 
     The table only decides in which order the shingles of a text are looked at. Any order gives the
     same result, so its bound is one of memory.
