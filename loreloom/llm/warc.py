@@ -243,7 +243,7 @@ def export_archives(archives: DataFrame, folder: str) -> None:
 
         store, root = fs.FileSystem.from_uri(folder)
         for row in rows:
-            with store.open_output_stream(f"{root}/{row.name}") as out:
+            with store.open_output_stream(f"{root}/{row.name}", compression=None) as out:
                 out.write(row.content)
 
     archives.select("name", "content").foreachPartition(save)
