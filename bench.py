@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from loreloom.plans.catalog import QUERIES
@@ -12,7 +13,8 @@ from loreloom.session import build_session
 HEADLINE = [
     "tokens", "doc_sections", "chunk_paragraphs", "html_text", "bm25_topk", "vector_topk",
     "hybrid_search", "entity_registry", "entity_mentions", "retrieval_metrics", "memory_context",
-    "rate_limit", "crawl_merge", "index_append", "answer_cache_lookup",
+    "rate_limit", "crawl_merge", "index_append", "answer_cache_lookup", "tool_routing",
+    "retrieval_cases",
 ]
 
 
@@ -22,6 +24,7 @@ def main() -> None:
     spark = build_session(
         f"local[{cpus}]", "bench",
         spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["bm25_topk"](spark, folder).write.format("noop").mode("overwrite").save()  # warm-up

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loreloom.functions import fixed
 from loreloom.functions import text as tx
+from loreloom.operators.topk import last_by
 
 STATE_COLUMNS = [
     "doc_id", "game_id", "source_id", "source_url", "raw_path", "content_hash", "fetched_at",
@@ -35,14 +36,14 @@ def crawl_plan(
 
     `landed` holds the fetch results at hand: doc_id, http_status, text, etag, last_modified.
     A reference that is not fresh and has no landed result stays `to_fetch`, with the headers for
-    a conditional request. With `stale_fallback` a failed fetch of a known page keeps the old one.
+    a conditional request. Of several results for a page the last counts. With `stale_fallback` a failed fetch of a known page keeps the old one.
     """
     known = state.select(
         "doc_id", F.col("content_hash").alias("old_hash"), F.col("checked_at").alias("checked"),
         F.col("etag").alias("if_none_match"), F.col("last_modified").alias("if_modified_since"),
         F.lit(True).alias("known"),
     )
-    results = landed.select(
+    results = last_by(landed, ["doc_id"]).select(
         "doc_id", "http_status",
         F.when(F.col("http_status") < 300, tx.content_hash(F.col("text"))).alias("content_hash"),
         F.col("etag"), F.col("last_modified"),
@@ -76,6 +77,7 @@ def crawl_merge(state: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame
 
     Fetched and unchanged pages replace their row; a 304 touches checked_at and the status only.
     """
+    outcomes = last_by(outcomes, ["doc_id"])
     written = outcomes.filter(F.col("status").isin("fetched", "unchanged")).select(
         "doc_id", "game_id", "source_id", "source_url", "raw_path", "content_hash",
         now.alias("fetched_at"), now.alias("checked_at"),

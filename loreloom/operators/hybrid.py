@@ -90,7 +90,7 @@ def search(
     )
     hybrid = base.hybrid and not base.chunks.isEmpty()
     if hybrid:
-        index = base.index or lexical.build_index(base.chunks, lexical.vocabulary_of(asked))
+        index = base.index or lexical.build_index(base.chunks)
         found = merge_candidates(vectors, lexical.search(index, asked, count))
     else:
         found = vectors.select(

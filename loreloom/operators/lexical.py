@@ -18,8 +18,6 @@ from loreloom.functions import text as tx
 from loreloom.operators.topk import top_k
 from loreloom.session import join_small, materialise
 
-VOCABULARY_LIMIT = 10_000
-
 
 @dataclass(frozen=True)
 class LexicalIndex:
@@ -97,28 +95,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary_of(queries: DataFrame) -> list[str] | None:
-    """The distinct query terms, or None when there are too many to send along."""
-    found = query_terms(queries).select("term").distinct().limit(VOCABULARY_LIMIT + 1).collect()
-    return None if len(found) > VOCABULARY_LIMIT else sorted(r["term"] for r in found)
-
-
-def build_index(chunks: DataFrame, vocabulary: list[str] | None = None) -> LexicalIndex:
-    """Index `chunks` (chunk_id, ord, game_id, title, section, content_type, text).
-
-    With a vocabulary, only its terms are kept; lengths and counts stay those of the full text.
-    """
-
-    kept = F.col("__tokens")
-    if vocabulary is not None:
-        # Tokens hold word characters only, so they can stand in a statement as they are.
-        listed = ", ".join(f"'{t}'" for t in vocabulary) or "''"
-        kept = F.expr(f"filter(__tokens, t -> t IN ({listed}))")
+def build_index(chunks: DataFrame) -> LexicalIndex:
+    """Index `chunks` (chunk_id, ord, game_id, title, section, content_type, text)."""
     rows = chunks.select(
         "chunk_id", "ord", "game_id", tx.tokens(index_text()).alias("__tokens")
     ).select(
         "chunk_id", "ord", "game_id", F.size("__tokens").alias("length"),
-        term_counts(kept).alias("terms"),
+        term_counts(F.col("__tokens")).alias("terms"),
     )
     terms = materialise(rows)
     row = LexicalIndex(terms, 0, 0.0).statistics().first()
@@ -157,5 +140,5 @@ def search(
 
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Index what the queries need, then search."""
-    return search(build_index(chunks, vocabulary_of(queries)), queries, k)
+    """Index the chunks, then search."""
+    return search(build_index(chunks), queries, k)

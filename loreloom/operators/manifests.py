@@ -39,11 +39,23 @@ def cap_per_category(refs: DataFrame, limit: int) -> DataFrame:
     return top_k(refs, ["category"], [F.asc("ord")], limit, "__rank").drop("__rank")
 
 
+def _all_fit(refs: DataFrame, max_documents: int) -> bool:
+    return refs.select("ord").limit(max_documents + 1).count() <= max_documents
+
+
+def _in_order(refs: DataFrame) -> DataFrame:
+    order = Window.partitionBy(F.lit(1)).orderBy("ord")
+    return refs.withColumn("position", F.row_number().over(order))
+
+
 def take_evenly(refs: DataFrame, max_documents: int) -> DataFrame:
     """Round robin over the content types in first-seen order, with the `position` taken.
 
-    At most `max_documents` rows per type take part, so the ordered step is small.
+    At most `max_documents` rows per type take part, so the ordered step is small. If all rows fit,
+    they stay in `ord` order.
     """
+    if _all_fit(refs, max_documents):
+        return _in_order(refs)
     first = refs.groupBy("content_type").agg(F.min("ord").alias("__first"))
     ranked = top_k(refs, ["content_type"], [F.asc("ord")], max_documents, "__round")
     chosen = (
@@ -84,7 +96,12 @@ def allocate(refs: DataFrame, budgets: DataFrame, max_documents: int) -> DataFra
 
 
 def take_budgeted(refs: DataFrame, budgets: DataFrame, max_documents: int) -> DataFrame:
-    """Budgeted sample in category order, filled up from the rest in `ord` order."""
+    """Budgeted sample in category order, filled up from the rest in `ord` order.
+
+    If all rows fit, they stay in `ord` order.
+    """
+    if _all_fit(refs, max_documents):
+        return _in_order(refs)
     shares = allocate(refs, budgets, max_documents)
     ranked = top_k(refs, ["content_type"], [F.asc("ord")], max_documents, "__rank")
     chosen = (

@@ -23,3 +23,13 @@ def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     packed = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(order))
     return df.groupBy(*keys).agg(packed.alias("__first")).select(*keys, "__first.*")
+
+
+def last_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row per key in the order of the rows, for deliveries that repeat a key."""
+    rest = [c for c in df.columns if c not in keys]
+    packed = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col("__at"))
+    numbered = df.withColumn("__at", F.monotonically_increasing_id())
+    return numbered.groupBy(*keys).agg(packed.alias("__last")).select(*keys, "__last.*").select(
+        *[F.col(f"`{c}`") for c in df.columns]
+    )

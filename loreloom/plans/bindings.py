@@ -31,6 +31,10 @@ def first_words(text, n: int):
     return F.array_join(tx.words(opening), " ")
 
 
+def all_words(text):
+    return F.array_join(tx.words(text), " ")
+
+
 def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _raw_documents(table(spark, folder, "documents"))
 
@@ -71,14 +75,14 @@ def _corpus(raw: DataFrame) -> DataFrame:
 
 
 def queries(spark: SparkSession, folder: str) -> DataFrame:
-    """The first words of each benchmark text, some led by a word that changes the ranking."""
+    """The words of each benchmark text, some led by a word that changes the ranking."""
     lead = F.element_at(
         tx.string_array(["", "compare ", "what is ", "hint "]), (F.col("item_id") % 4 + 1).cast("int")
     )
     return table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"),
         F.lit("en").alias("game_id"),
-        F.concat(lead, first_words(F.col("text"), 8)).alias("query"),
+        F.concat(lead, all_words(F.col("text"))).alias("query"),
     )
 
 
@@ -195,32 +199,53 @@ def mixed_queries(spark: SparkSession, folder: str) -> DataFrame:
     tail = F.when(item % 3 == 0, " що завдає більше шкоди").otherwise("")
     return table(spark, folder, "benchmark").select(
         item.alias("query_id"), F.lit("en").alias("game_id"),
-        F.concat(lead, first_words(F.col("text"), 8), tail).alias("query"),
+        F.concat(lead, all_words(F.col("text")), tail).alias("query"),
     )
 
 
 GOLDEN_WORDS = 6
 
 
+def golden_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(ord, item_id, item): documents (ord, w) that have the inner words of an item in a row."""
+    size = F.size("iw")
+    inside = F.when(size > 2, F.least(size - 2, F.lit(GOLDEN_WORDS))).otherwise(size)
+    keyed = (
+        items.withColumn("iw", tx.words(F.col("item"))).filter(size > 0)
+        .withColumn("k", inside)
+        .withColumn("key", F.xxhash64(F.slice("iw", F.when(size > 2, 2).otherwise(1), F.col("k"))))
+        .select("item_id", "item", "k", "key")
+    )
+    lengths = sorted(r[0] for r in keyed.select("k").distinct().collect())  # GOLDEN_WORDS at most
+    if not lengths:
+        return docs.select("ord").join(keyed.select("item_id", "item"), F.lit(False))
+
+    def windows_of(n: int):
+        return F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1))),
+            lambda i: F.struct(F.lit(n).alias("k"), F.xxhash64(F.slice("w", i, n)).alias("key")),
+        )
+
+    windows = F.concat(*[windows_of(n) for n in lengths])
+    runs = tx.explode_once(docs, windows, "run").select("ord", "run.k", "run.key")
+    return join_small(runs, keyed, ["k", "key"]).select("ord", "item_id", "item").distinct()
+
+
 def golden_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items with the documents that hold them word for word as expectation.
 
-    Documents and items meet on six words after the item's first one, then the whole text is
-    compared.
+    Documents and items meet on up to six words inside the item, whose first and last word may be
+    part of a longer one; then the whole text is compared. Items of one or two words are looked for
+    as whole words.
     """
     words = tx.words(F.col("text"))
-    items = table(spark, folder, "benchmark").select(
-        "item_id", F.col("text").alias("item"),
-        F.xxhash64(F.slice(words, 2, GOLDEN_WORDS)).alias("key"),
-    )
     docs = raw_documents(spark, folder).select("ord", "title", "source_id", "text_en")
-    runs = docs.select("ord", tx.words(F.col("text_en")).alias("w"))
-    windows = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (GOLDEN_WORDS - 1))),
-        lambda i: F.xxhash64(F.slice("w", i, GOLDEN_WORDS)),
+    pairs = materialise(
+        golden_pairs(
+            docs.select("ord", tx.words(F.col("text_en")).alias("w")),
+            table(spark, folder, "benchmark").select("item_id", F.col("text").alias("item")),
+        )
     )
-    keyed = tx.explode_once(runs, windows, "key").select("ord", "key")
-    pairs = materialise(join_small(keyed, items, ["key"]).drop("key").distinct())
     expected = (
         join_small(docs, pairs, ["ord"])
         .filter(F.contains("text_en", F.col("item")))
@@ -237,11 +262,11 @@ def golden_cases(spark: SparkSession, folder: str) -> DataFrame:
         .join(expected, "item_id", "left")
         .select(
             item.alias("case_id"),
-            F.array_join(F.slice(words, 1, 8), " ").alias("query"),
+            F.array_join(words, " ").alias("query"),
             F.lit("en").alias("game_id"),
             pick(["items", "lore", None], item % 3).alias("category"),
             F.coalesce("expected_titles", none).alias("expected_titles"),
-            F.slice(words, 1, 3).alias("expected_terms"),
+            words.alias("expected_terms"),
             F.coalesce("expected_source_ids", none).alias("expected_source_ids"),
             (item * 7 % 97).alias("latency_ms"),
         )
@@ -433,12 +458,12 @@ def budgets(spark: SparkSession) -> DataFrame:
 
 
 def landed_listings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Each document as two listing responses whose titles are the first words of its lines."""
+    """Each document as two listing responses whose titles are the words of its lines."""
     docs = raw_documents(spark, folder)
 
     def title(line, i):
         lead = F.when(i % 7 == 0, "List of ").otherwise("")
-        return F.concat(lead, first_words(line, 2))
+        return F.concat(lead, all_words(line))
 
     lines = lines_of(F.col("text_en"))
     members = F.transform(lines, lambda x, i: F.struct(title(x, i).alias("title")))

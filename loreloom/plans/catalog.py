@@ -330,9 +330,7 @@ def entity_registry(spark, folder):
 @query
 def entity_list(spark, folder):
     registry = entities.build_entities(b.corpus(spark, folder))
-    return entities.list_entities(registry, content_type="character", limit=20).select(
-        "game_id", "canonical_name", "content_type", "position"
-    )
+    return entities.list_entities(registry).select("game_id", "canonical_name", "content_type")
 
 
 @query
@@ -380,10 +378,12 @@ def rewrite_names(spark, folder):
 
 
 def _evaluated(spark, folder):
-    results = hybrid.with_payload(_bm25(spark, folder, 5).drop("ord"), b.corpus(spark, folder))
-    return evals.retrieval_cases(
-        evals.attach_results(b.golden_cases(spark, folder), results)
-    )
+    """The cases with what their own question finds."""
+    cases = materialise(b.golden_cases(spark, folder))
+    corpus = b.corpus(spark, folder)
+    asked = cases.select(F.col("case_id").alias("query_id"), "game_id", "query")
+    found = lexical.bm25_search(corpus, asked, 5).drop("ord")
+    return evals.retrieval_cases(evals.attach_results(cases, hybrid.with_payload(found, corpus)))
 
 
 @query
@@ -666,7 +666,7 @@ def manifest_check(spark, folder):
 @query
 def manifest_listing(spark, folder):
     categories, pages = b.landed_listings(spark, folder)
-    one = landed.category_refs(categories, "wiki_a", "https://a.example/wiki/", 100)
+    one = landed.category_refs(categories, "wiki_a", "https://a.example/wiki/")
     two = landed.page_refs(pages, "wiki_b", "https://b.example/wiki/")
     return one.unionByName(two).select("doc_id", "source_url", "title", "content_type")
 

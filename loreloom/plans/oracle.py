@@ -48,6 +48,10 @@ def toks(x: str) -> str:
     return words(fold(x))
 
 
+def spoken(x: str) -> str:
+    return f"array_to_string({words(x)}, ' ')"
+
+
 def head(x: str, n: int) -> str:
     return f"array_to_string(list_slice({words(x)}, 1, {n}), ' ')"
 
@@ -170,7 +174,7 @@ SELECT doc_id AS chunk_id, ord, game_id, source_id, source_url, title, content_t
   {pick(['Lead', 'History', 'Overview'], 'ord % 3')} AS section, text_en AS text FROM v_raw""")
 cte("v_queries", f"""
 SELECT item_id AS query_id, 'en' AS game_id,
-  {pick(['', 'compare ', 'what is ', 'hint '], 'item_id % 4')} || {head('text', 8)} AS query
+  {pick(['', 'compare ', 'what is ', 'hint '], 'item_id % 4')} || {spoken('text')} AS query
 FROM benchmark""")
 cte("v_game_corpus", """
 SELECT * REPLACE (CASE WHEN game_id = 'en' THEN 'bg3' ELSE 'blue_prince' END AS game_id)
@@ -654,10 +658,8 @@ FROM {corpus} GROUP BY game_id, title""")
 entity_cte("v_entities", "v_corpus")
 entity_cte("v_game_entities", "v_game_corpus")
 oracle("entity_registry", "SELECT *, normalized_name AS aliases FROM v_entities")
-oracle("entity_list", f"""
-SELECT game_id, canonical_name, content_type, position::INTEGER AS position FROM (
-  SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY {fold('canonical_name')}, canonical_name)
-    AS position FROM v_entities WHERE content_type = 'character') WHERE position <= 20""")
+oracle("entity_list", """
+SELECT game_id, canonical_name, content_type FROM v_entities""")
 cte("v_lookups", """
 SELECT ord AS lookup_id, game_id, replace(title, ' ', '_') || CASE WHEN ord % 3 = 0 THEN ' x' ELSE '' END
   AS name FROM v_raw""")
@@ -675,7 +677,7 @@ FROM v_texts t JOIN v_entities e ON e.game_id = t.game_id AND normalized_name <>
   AND contains(t.t, normalized_name)""")
 cte("v_mixed", f"""
 SELECT item_id AS query_id, {pick(['порівняй мені ', 'Що ', 'блискавка чи фаєрбол ', ''], 'item_id % 4')}
-  || {head('text', 8)} || CASE WHEN item_id % 3 = 0 THEN ' що завдає більше шкоди' ELSE '' END AS query
+  || {spoken('text')} || CASE WHEN item_id % 3 = 0 THEN ' що завдає більше шкоди' ELSE '' END AS query
 FROM benchmark""")
 phrase, phrase_new = next(iter(fixed.PHRASE_REWRITES.items()))
 MAP = (
@@ -698,9 +700,9 @@ SELECT query_id, retrieval_query, CASE WHEN retrieval_query = {squeeze('query')}
 # ---- evaluation ------------------------------------------------------------
 
 cte("v_golden", f"""
-SELECT item_id AS case_id, {head('text', 8)} AS query,
+SELECT item_id AS case_id, {spoken('text')} AS query,
   {pick(['items', 'lore', None], 'item_id % 3')} AS category,
-  coalesce(titles, {EMPTY}) AS titles, list_slice({words('text')}, 1, 3) AS terms,
+  coalesce(titles, {EMPTY}) AS titles, {words('text')} AS terms,
   coalesce(sources, {EMPTY}) AS sources, item_id * 7 % 97 AS latency_ms
 FROM benchmark LEFT JOIN (SELECT item_id, list_sort(list(DISTINCT title)) AS titles,
   list_sort(list(DISTINCT source_id)) AS sources
@@ -708,20 +710,19 @@ FROM benchmark LEFT JOIN (SELECT item_id, list_sort(list(DISTINCT title)) AS tit
 cte("v_results", """
 SELECT b.query_id, b.rank, b.score, c.* EXCLUDE (ord) FROM v_bm25_q b JOIN v_corpus c USING (chunk_id)
 WHERE b.rank <= 5""")
+# The cases ask with their own words, so they have their own results.
+cte("v_golden_q", "SELECT case_id AS query_id, 'en' AS game_id, query FROM v_golden")
+bm25_ctes("g", "v_corpus", "v_golden_q")
 cte("v_result_lists", """
-SELECT query_id AS case_id, list(struct_pack(title := title, section := section, text := text,
-  source_id := source_id) ORDER BY rank) AS l FROM v_results GROUP BY query_id""")
+SELECT b.query_id AS case_id, list(struct_pack(title := title, section := section, text := text,
+  source_id := source_id) ORDER BY b.rank) AS l FROM v_bm25_g b JOIN v_corpus c USING (chunk_id)
+WHERE b.rank <= 5 GROUP BY b.query_id""")
 
 
 def folded(x: str) -> str:
     return f"list_transform(list_filter({x}, lambda v: v <> ''), lambda v: {fold('v')})"
 
 
-def golden_queries() -> None:
-    """The golden cases ask with the plain words, so they have their own result lists."""
-    cte("v_golden_q", "SELECT case_id AS query_id, 'en' AS game_id, query FROM v_golden")
-
-
 cte("v_case_base", f"""
 SELECT g.*, coalesce(l.l, []) AS l, {folded('titles')} AS et, {folded('sources')} AS es,
   {folded('terms')} AS tt FROM v_golden g LEFT JOIN v_result_lists l USING (case_id)""")
@@ -1023,8 +1024,9 @@ SELECT game_id || '/' || source_id AS category FROM v_raw EXCEPT
 SELECT game_id || '/' || source_id FROM v_raw JOIN labels ON labels.doc_id = ord""")
 oracle("even_sample", """
 SELECT doc_id, content_type, position::INTEGER AS position FROM (
-  SELECT *, row_number() OVER (ORDER BY r, first) AS position FROM (
-    SELECT *, row_number() OVER (PARTITION BY content_type ORDER BY ord) AS r,
+  SELECT *, row_number() OVER (ORDER BY CASE WHEN n > 101 THEN r END, CASE WHEN n > 101 THEN first END, ord)
+    AS position FROM (
+    SELECT *, row_number() OVER (PARTITION BY content_type ORDER BY ord) AS r, count(*) OVER () AS n,
       min(ord) OVER (PARTITION BY content_type) AS first FROM v_deduped)) WHERE position <= 101""")
 cte("v_budget", """
 SELECT * FROM (VALUES (0, 'spell', 30), (1, 'item', 25), (2, 'mechanic', 20), (3, 'character', 18))
@@ -1048,13 +1050,12 @@ SELECT doc_id, content_type, position::INTEGER AS position FROM (
     SELECT doc_id, content_type, 1, 0, ord FROM v_deduped
     WHERE doc_id NOT IN (SELECT doc_id FROM v_chosen))) WHERE position <= 101""")
 cte("v_list_rows", f"""
-SELECT ord * 1000000 + i AS ord, content_type, i,
-  CASE WHEN i % 7 = 0 THEN 'List of ' ELSE '' END || {head('line', 2)} AS title FROM v_thread_lines""")
+SELECT struct_pack(o := ord, i := i) AS ord, content_type, i,
+  CASE WHEN i % 7 = 0 THEN 'List of ' ELSE '' END || {spoken('line')} AS title FROM v_thread_lines""")
 cte("v_list_a", f"""
 SELECT 'wiki_a:' || replace(title, ' ', '_') AS doc_id,
   'https://a.example/wiki/' || url_encode(replace(title, ' ', '_')) AS source_url, title, content_type, ord
-FROM (SELECT *, row_number() OVER (PARTITION BY content_type ORDER BY ord) AS r FROM v_list_rows
-  WHERE title <> '' AND NOT {starts_any(fold('title'), fixed.WIKI_A_SKIP_PREFIXES)}) WHERE r <= 100""")
+FROM v_list_rows WHERE title <> '' AND NOT {starts_any(fold('title'), fixed.WIKI_A_SKIP_PREFIXES)}""")
 cte("v_list_b", f"""
 SELECT 'wiki_b:' || replace(title, ' ', '_') AS doc_id,
   'https://b.example/wiki/' || replace(url_encode(replace(title, ' ', '_')), '%3A', ':') AS source_url, title,

@@ -22,7 +22,8 @@ THREAD = (
 
 
 def category_refs(
-    listings: DataFrame, source_id: str, base_url: str, per_category: int
+    listings: DataFrame, source_id: str, base_url: str,
+    per_category: int | None = None,
 ) -> DataFrame:
     """Category listings (ord, category, content_type, payload) to references.
 
@@ -30,10 +31,12 @@ def category_refs(
     """
     members = F.from_json("payload", CATEGORY_LISTING)["query"]["categorymembers"]
     rows = tx.explode_once(listings, members, "member", "pos").select(
-        (F.col("ord") * 1_000_000 + F.col("pos")).alias("ord"), "category", "content_type",
+        F.struct("ord", "pos").alias("ord"), "category", "content_type",
         F.col("member.title").alias("title"),
     )
-    kept = cap_per_category(without_titles(rows, fixed.WIKI_A_SKIP_PREFIXES), per_category)
+    kept = without_titles(rows, fixed.WIKI_A_SKIP_PREFIXES)
+    if per_category is not None:
+        kept = cap_per_category(kept, per_category)
     return dedupe(title_refs(kept, source_id, base_url))
 
 
@@ -41,7 +44,7 @@ def page_refs(listings: DataFrame, source_id: str, base_url: str) -> DataFrame:
     """All-pages listings (ord, payload) to references; the type comes from title and categories."""
     pages = F.from_json("payload", PAGE_LISTING)["query"]["pages"]
     rows = tx.explode_once(listings, pages, "p", "pos").select(
-        (F.col("ord") * 1_000_000 + F.col("pos")).alias("ord"),
+        F.struct("ord", "pos").alias("ord"),
         F.col("p.title").alias("title"),
         F.array_join(F.col("p.categories.title"), " ").alias("categories"),
     )

@@ -66,23 +66,24 @@ def versioned(
     return spark.read.parquet(f"{root}/table/v={last}")
 
 
-def request_windows(hits: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Requests per client and window: window_start, client, n."""
+def request_windows(hits: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Requests per client and window: window_start, client, n.
+
+    Each batch is counted on its own and the counts are added up, so a hit counts however late it is.
+    """
     spark = hits.sparkSession
     root = scratch_path(spark, "windows")
-    counted = (
-        hits.withWatermark("ts", late)
-        .groupBy(F.window("ts", width).alias("w"), "client")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), "client", "n")
-    )
+    keys = [F.window("ts", width)["start"].alias("window_start"), F.col("client")]
 
     def process(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/updates/batch={number}")
-
-    run_available(counted, process, f"{root}/progress", mode="update")
-    updates = spark.read.parquet(f"{root}/updates")
-    return updates.groupBy("window_start", "client").agg(F.max_by("n", "batch").alias("n"))
+        counted = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        counted.write.mode("overwrite").parquet(f"{root}/counts/batch={number}")
+
+    if run_available(hits, process, f"{root}/progress") < 0:
+        nothing = spark.createDataFrame([], hits.schema)
+        return nothing.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = spark.read.parquet(f"{root}/counts")
+    return counts.groupBy("window_start", "client").agg(F.sum("n").alias("n"))
 
 
 def limited_requests(

@@ -11,9 +11,10 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
-        "local[4]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g"
+        "local[4]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -95,7 +95,6 @@ def test_scores_follow_the_formula_on_both_join_paths(spark, data, monkeypatch):
     import loreloom.session as session
 
     monkeypatch.setattr(session, "fits_broadcast", lambda *a, **k: False)
-    monkeypatch.setattr(lexical, "VOCABULARY_LIMIT", 3)
     assert ranked() == wanted
 
 

@@ -270,3 +270,39 @@ def test_index_stream_merges_and_replaces(spark, tmp_path):
 
     assert table("append") == [("c1", "new"), ("c2", "2"), ("c3", "3"), ("c4", "4")]
     assert table("rebuild-source") == [("c1", "new"), ("c3", "3"), ("c4", "4")]
+
+
+def test_the_last_of_repeated_rows_wins(spark):
+    old = indexing.points(chunk_rows(spark, chunk(1, "A", "old")))
+    new = indexing.points(chunk_rows(spark, chunk(1, "A", "one"), chunk(1, "A", "two")).coalesce(1))
+    assert [r["text"] for r in indexing.upsert(old, new).collect()] == ["two"]
+
+
+def test_samples_that_fit_keep_their_order(spark):
+    refs = refs_of(spark, {"b": 2, "a": 1})
+    budgets = spark.createDataFrame([(0, "a", 1)], "type_ord int, content_type string, budget int")
+    for sample in (manifests.take_evenly(refs, 3), manifests.take_budgeted(refs, budgets, 3)):
+        assert [r["doc_id"] for r in sample.orderBy("position").collect()] == ["d0", "d1", "d2"]
+
+
+def test_late_requests_count(spark, tmp_path):
+    schema = "client string, ts timestamp"
+    for part, minute in enumerate((50, 0, 30)):
+        rows = [("c", dt.datetime(2024, 2, 1, 10, minute))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    stream = (
+        spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    )
+    assert [r["n"] for r in jobs.request_windows(stream, "1 day").collect()] == [3]
+
+
+def test_short_golden_items_meet_longer_texts(spark):
+    from loreloom.plans.bindings import golden_pairs
+
+    docs = spark.createDataFrame([(1, "x a b c d e y z".split()), (2, ["q"])], "ord int, w array<string>")
+    items = spark.createDataFrame(
+        [(1, "a b c d e"), (2, "b c"), (3, "z"), (4, "nope")], "item_id int, item string"
+    )
+    got = sorted((r["ord"], r["item_id"]) for r in golden_pairs(docs, items).collect())
+    assert got == [(1, 1), (1, 2), (1, 3)]

@@ -44,8 +44,8 @@ def test_content_types(spark):
 
 
 def test_fixed_windows(spark):
-    got = one(spark, "abcdefghij", lambda c: chunking.fixed_windows(c, 4, 1))
-    assert got == ["abcd", "defg", "ghij"]
+    got = one(spark, "0123456789XYZ", lambda c: chunking.fixed_windows(c, 5, 2))
+    assert got == ["01234", "34567", "6789X", "9XYZ"]
     assert one(spark, "  ", lambda c: chunking.fixed_windows(c, 4, 1)) == []
     assert one(spark, "abc", lambda c: chunking.fixed_windows(c, 4, 1)) == ["abc"]
 
@@ -88,17 +88,17 @@ def test_packing_parameters():
 PAGE = """
 Overview
 Background
-The captain prowled the night for two centuries.
+Grew up among lighthouse keepers on the northern shore.
 Starting class
-A level 1 rogue. UID S_Player UUID c7c13742-bacd-460a-8f65-f864fe41f255 Stats AB_1 Fine.
+Begins as a ranger of the third rank. UID S_Keeper UUID 00000000-1111-4222-8333-444444444444 Stats AB_2 Kind.
 Technical
 UID
-S_Player
+S_Keeper
 Gallery
-Cover artwork
+Portrait in oil
 Personality
-Charming [ 12 ] and witty. Technical details flags flags How to learn more.
-Retrieved from somewhere
+Patient [ 3 ] with strangers. Technical details flags flags How to learn more.
+Retrieved from elsewhere
 """
 
 
@@ -111,8 +111,8 @@ def test_sections_of_a_character_page(spark):
     assert [r["section"] for r in rows] == [
         "Overview > Background", "Overview > Starting class", "Personality",
     ]
-    assert rows[1]["text"] == "A level 1 rogue. Fine."
-    assert rows[2]["text"] == "Charming and witty. How to learn more."
+    assert rows[1]["text"] == "Begins as a ranger of the third rank. Kind."
+    assert rows[2]["text"] == "Patient with strangers. How to learn more."
     chunks = chunking.chunk_documents(docs, 30, 5).collect()
     assert chunks[0]["chunk_id"] == "d:overview_background:0001"
     assert [c["chunk_id"][-4:] for c in chunks] == [f"{i:04d}" for i in range(1, len(chunks) + 1)]
