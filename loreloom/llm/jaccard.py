@@ -227,7 +227,7 @@ def _best_centre(seats: DataFrame) -> DataFrame:
 def _open_seats(seats: DataFrame, labels: DataFrame) -> DataFrame:
     """Seats of the tiles that hold several components, with their own, the largest, and its centre."""
     placed = seats.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "tile", "cls", "n", "w", "upto", "rest", F.coalesce("label", "cls").alias("label")
+        "tile", "cls", "n", "guest", "w", "upto", "rest", F.coalesce("label", "cls").alias("label")
     )
     parts = placed.groupBy("tile", "label").agg(
         F.count(F.lit(1)).alias("c"), F.max_by("cls", "w").alias("centre")
@@ -269,7 +269,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # The tiles of a class: one per token of its prefix, then as many as a guest of the next band.
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     seats = classes.select("cls", prefix.alias("p"), F.posexplode("tiles").alias("pos", "tile"))
-    seats = seats.select("cls", "tile", (F.col("pos") % F.col("p")).cast("int").alias("token"))
+    seats = seats.select(
+        "cls", "tile", (F.col("pos") % F.col("p")).cast("int").alias("token"),
+        (F.col("pos") >= F.col("p")).alias("guest"),
+    )
     tiles = materialise(
         seats.groupBy("tile").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tile")
     )
@@ -280,7 +283,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # (all of them shared ones), and as many as the smaller `rest` after it.
     seats = materialise(
         seats.join(shared, "cls").join(classes.select("cls", "n"), "cls").select(
-            "tile", "cls", "n", F.struct("shared", -F.col("cls")).alias("w"),
+            "tile", "cls", "n", "guest", F.struct("shared", -F.col("cls")).alias("w"),
             F.dense_rank().over(Window.partitionBy("cls").orderBy("token")).alias("upto"),
             (F.col("n") - F.col("token") - 1).alias("rest"),
         )
@@ -312,8 +315,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Third pass: all members of a tile that are in different components so far.
     few = open_seats.filter("label != main").select(
-        "tile", *[F.col(c).alias(f"{c}_x") for c in ("cls", "label", "n", "upto", "rest")]
+        "tile", *[F.col(c).alias(f"{c}_x") for c in ("cls", "label", "n", "guest", "upto", "rest")]
     )
+    # The first common token of a pair leaves enough of both; two guests meet in their own band too.
+    enough = (F.col("n") + F.col("n_x")) * percent
     common = F.least("upto", "upto_x") + F.least("rest", "rest_x")
     pairs = (
         few.join(
@@ -321,7 +326,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             (few["tile"] == open_seats["tile"])
             & F.expr("label != label_x AND (label = main OR cls < cls_x)")
             & (F.least("n", "n_x") * 100 >= F.greatest("n", "n_x") * percent)
-            & (common * (100 + percent) >= (F.col("n") + F.col("n_x")) * percent),
+            & F.expr("NOT (guest AND guest_x)")
+            & ((F.least("rest", "rest_x") + 1) * (100 + percent) >= enough)
+            & (common * (100 + percent) >= enough),
         )
         .select(F.greatest("cls_x", "cls").alias("a"), F.least("cls_x", "cls").alias("b"))
         .distinct()
