@@ -2,10 +2,8 @@
 
 Only a window that shares a shingle with an item can be similar to it, so shared shingles say which
 windows to look at: those of the item's length, laid so that the shared shingle lies where the item
-has it. Each window and each item gets a SimHash of its weighted shingles. Fingerprints within the
-radius agree in one of radius + 1 blocks of their bits at least, so an equi-join on blocks finds them
-all. What it finds is verified by the exact similarity of the weighted shingles: the sum of the
-smaller over the sum of the larger counts.
+has it. Every window laid is held against its item by the exact similarity of the weighted shingles:
+the sum of the smaller over the sum of the larger counts.
 """
 
 from __future__ import annotations
@@ -20,9 +18,6 @@ from loreloom.session import materialise
 
 WIDTH = 5
 SIMILARITY = 0.8
-BITS = 64
-# Weighted shingles of similarity 0.8 differ in ten bits on average, in more than 20 hardly ever.
-RADIUS = 20
 BROADCAST_ROWS = 100_000
 BROADCAST_SHINGLES = 200_000
 
@@ -67,34 +62,7 @@ def _counted(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _fingerprints(counted: DataFrame, *keys: str) -> DataFrame:
-    """(keys, total, print): number of shingles and SimHash, each bit the sign of the counts' vote."""
-    bit = lambda i: F.getbit(F.xxhash64("shingle"), F.lit(i))
-    votes = [
-        F.sum(F.when(bit(i) == 1, F.col("c")).otherwise(-F.col("c"))).alias(f"v{i}") for i in range(BITS)
-    ]
-    voted = counted.groupBy(*keys).agg(F.sum("c").alias("total"), *votes)
-    bits = [F.when(F.col(f"v{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i in range(BITS)]
-    return voted.select(*keys, "total", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("print"))
-
-
-def _blocks(print_: Column, radius: int) -> Column:
-    """radius + 1 numbered pieces of a fingerprint that cover all its bits."""
-    edges = [i * BITS // (radius + 1) for i in range(radius + 2)]
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("block"),
-                F.shiftrightunsigned(print_, low).bitwiseAND(F.lit((1 << (high - low)) - 1)).alias("piece"),
-            )
-            for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False))
-        ]
-    )
-
-
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
-) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(row_key, doc_id, item_id, similarity, start, n_words) for `docs` (row_key, doc_id, text).
 
     One row per text and item: the window of the item's number of words that is most similar (the
@@ -142,31 +110,20 @@ def contaminated(
         .withColumn("win", F.monotonically_increasing_id())
     )
     item_counts = materialise(_counted(items.select("item", "words"), "item"))
-    window_counts = materialise(_counted(windows.select("win", "item", "words"), "win", "item"))
-    item_prints = _fingerprints(item_counts, "item")
-    window_prints = _fingerprints(window_counts, "win", "item")
-    block = lambda df, *c: df.select(*c, F.explode(_blocks(F.col("print"), radius)).alias("b")).select(
-        *c, "b.block", "b.piece"
-    )
-    left = block(window_prints.withColumnRenamed("print", "print").select("win", "item", "total", "print"), "win", "item", "total", "print")
-    right = block(
-        item_prints, "item", "total", "print"
-    ).withColumnsRenamed({"total": "item_total", "print": "item_print"})
-    close = (
-        left.join(right, ["item", "block", "piece"])
-        .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-        .select("win", "item", "total", "item_total").distinct()
-    )
     common = (
-        window_counts.join(item_counts.withColumnRenamed("c", "d"), ["item", "shingle"])
+        _counted(windows.select("win", "item", "words"), "win", "item")
+        .join(_bounded(item_counts.withColumnRenamed("c", "d"), BROADCAST_SHINGLES), ["item", "shingle"])
         .groupBy("win").agg(F.sum(F.least("c", "d")).alias("common"))
     )
+    shingles = F.greatest(size - WIDTH + 1, F.lit(1))
     scored = (
-        close.join(common, "win")
+        common.join(
+            windows.select("win", "row_key", "doc_id", "item", "start", size.alias("n_words"), shingles.alias("total")),
+            "win",
+        )
+        .join(_bounded(items.select("item", "item_id", shingles.alias("item_total"))), "item")
         .withColumn("similarity", F.col("common") / (F.col("total") + F.col("item_total") - F.col("common")))
         .filter(F.col("similarity") >= similarity)
-        .join(windows.select("win", "row_key", "doc_id", "start", F.size("words").alias("n_words")), "win")
-        .join(items.select("item", "item_id"), "item")
     )
     best = F.struct("similarity", (-F.col("start")).alias("s"), "n_words")
     return (

@@ -307,6 +307,17 @@ def test_contaminated_texts(spark):
     assert decontaminate.contaminated(table(spark, rows), items.limit(0)).count() == 0
 
 
+def test_items_whose_tail_repeats_one_word_are_found(spark):
+    chance = random.Random(13)
+    items = [[f"w{chance.randrange(10**6)}" for _ in range(157)] for _ in range(8)]
+    rows = [(i, " ".join(["lead", *item[:140], *["again"] * 17])) for i, item in enumerate(items)]
+    benchmark = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id int, text string")
+    got = decontaminate.contaminated(table(spark, rows), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["similarity"], r["start"], r["n_words"]) for r in got) == [
+        (i, i, 0.8, 1, 157) for i in range(8)
+    ]
+
+
 # ---- pages ----
 
 PAGE = """<html><head><title>no</title><script>if (a < b) "</p>";</script></head><body>
