@@ -21,16 +21,24 @@ from pyspark.sql import functions as F
 from loreloom.llm.common import groups_of_rows
 
 SPACE = re.compile(r"\s+")
-# A comment, an element whose content is not text, a declaration, or a tag.
-MARKUP = re.compile(
+NO_TEXT = (
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+)
+# A comment, an element of raw text (without an end tag it goes to the page's end), a declaration, or a tag.
+MARKUP = re.compile(
+    NO_TEXT +
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
+# Elements that are left out with all they hold; one without an end tag holds nothing.
+SKIPPED = set("noscript template svg math iframe object select".split())
+SKIPPED_TAG = re.compile(
+    NO_TEXT + rf"|<(?P<end>/?)(?P<name>{'|'.join(sorted(SKIPPED))})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>",
+    re.S | re.I,
+)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
@@ -48,6 +56,8 @@ ASIDE_NAMES = set(
     "promo promoted promotion recommended related respond reply replies search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
+# A joined name with one of these says what a page has beside the element (layout-with-sidebar).
+LAYOUT_NAMES = {"has", "no", "with", "without"}
 MAIN_TAGS = {"article", "main"}
 MAIN_NAMES = set("article articlebody entry story post".split())
 MAIN_ROLES = {"article", "main"}
@@ -159,9 +169,30 @@ def decide(tree: tuple | bool, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _region(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is a region beside the text, and whether it holds the article."""
-    aside, main = name in ASIDE_TAGS, name in MAIN_TAGS
+def _self_closed(name: str, tag: str) -> bool:
+    return name in ("svg", "math") and tag.endswith("/>")
+
+
+def _skipped_ends(page: str) -> dict[int, int]:
+    """Where each of the SKIPPED elements that have an end tag ends, by where it starts."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in SKIPPED}
+    for found in SKIPPED_TAG.finditer(page):
+        if not found["name"]:
+            continue
+        name = found["name"].lower()
+        if not found["end"]:
+            if not _self_closed(name, found[0]):
+                opened[name].append(found.start())
+        elif opened[name]:
+            ends[opened[name].pop()] = found.end()
+    return ends
+
+
+def _region(name: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether an element is a region beside the text, whether it holds the article, and whether
+    nothing but its class or id says that it is beside the text."""
+    aside, main, named = name in ASIDE_TAGS, name in MAIN_TAGS, False
     if attrs:
         for key, *values in ATTRIBUTE.findall(attrs):
             key, value = key.lower(), "".join(values)
@@ -170,7 +201,7 @@ def _region(name: str, attrs: str) -> tuple[bool, bool]:
                 for word in value.split():
                     parts = [p.lower() for p in NAME_PARTS.findall(word)]
                     ends = {word.lower(), *parts[:1], *parts[-1:]}
-                    aside |= bool(ends & ASIDE_NAMES)
+                    named |= bool(ends & ASIDE_NAMES) and not LAYOUT_NAMES & set(parts[:-1])
                     main |= word.lower().replace("-", "") in MAIN_NAMES
             elif key == "role":
                 aside |= value.lower() in ASIDE_ROLES
@@ -181,13 +212,22 @@ def _region(name: str, attrs: str) -> tuple[bool, bool]:
                 aside = True
     if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs or ""):
         aside = True
-    return aside and not (main and name in MAIN_TAGS), main
+    if main and name in MAIN_TAGS:
+        return False, True, False
+    return aside or named, main, named and not aside
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, aside, in an article) of each text block of a page."""
+    """(text, words, words in links, aside, in an article) of each text block of a page.
+
+    A class or id around an article or main element does not put it aside, unless another article of
+    the page stands in fewer elements with such names (the teasers of a sidebar).
+    """
     out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, aside, main
+    around: list[int | None] = []  # per block: aside names around its outermost article, none outside
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, aside, main, named
+    article: tuple[int, int, int] | None = None  # outermost: place in stack, names around it, as counted
+    skipped: dict[int, int] | None = None
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -198,15 +238,26 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                only_header = aside == 1 and main and heading and any(
-                    n == "header" and a for n, a, _ in stack
+                beside = aside - (article[1] if article else 0)
+                only_header = beside == 1 and main and heading and any(
+                    n == "header" and a for n, a, *_ in stack
                 )
                 words = len(text.split())
                 links = len("".join(linked).split())
-                out.append((text, words, min(links, words), aside > 0 and not only_header, main > 0))
+                out.append((text, words, min(links, words), beside > 0 and not only_header, main > 0))
+                around.append(article[2] if article else None)
             parts.clear()
             linked.clear()
 
+    def shut(depth: int) -> None:
+        nonlocal aside, main, article
+        for _, was_aside, was_main, _ in stack[depth:]:
+            aside -= was_aside
+            main -= was_main
+        del stack[depth:]
+        if article and depth <= article[0]:
+            article = None
+
     def add(raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
@@ -214,17 +265,24 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             linked.append(text)
 
     at = 0
-    for found in MARKUP.finditer(page):
+    while found := MARKUP.search(page, at):
         if found.start() > at:
             add(page[at : found.start()])
         at = found.end()
         name = found["name"] or found["name2"]
         if name is None:
-            if found["raw"] and found["raw"].lower() in ("textarea", "select"):
+            if found["raw"] and found["raw"].lower() == "textarea":
                 close()
             continue
         name = name.lower()
         ending = bool(found["end"] or found["end2"])
+        if name in SKIPPED:
+            if name == "select":
+                close()
+            if not ending and not _self_closed(name, found[0]):
+                skipped = _skipped_ends(page) if skipped is None else skipped
+                at = skipped.get(found.start(), at)
+            continue
         if name == "a":
             in_link = not ending
             if in_link and linked:
@@ -240,47 +298,47 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                     region = _region(name, attrs)
                     if region[0]:
                         close()
-                        stack.append((name, True, False))
+                        stack.append((name, True, False, False))
                         aside += 1
             elif ending and stack and stack[-1][0] == name:
                 close()
-                stack.pop()
-                aside -= 1
+                shut(len(stack) - 1)
             continue
         close()
+        if not ending and stack and stack[-1][0] == "option":
+            shut(len(stack) - 1)
         if ending:
             in_link = False
             heading = False
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
-                for _, was_aside, was_main in stack[depth:]:
-                    aside -= was_aside
-                    main -= was_main
-                del stack[depth:]
+                shut(depth)
             continue
         heading = name in KEPT_IN_HEADER
-        if name in VOID or name in ("p", "li", "dt", "dd", "tr", "td", "th", "html", "body"):
+        if name in VOID or name in ("p", "li", "dt", "dd", "tr", "td", "th", "html", "head", "body"):
             region = _region(name, found["attrs"] or found["attrs2"] or "")
-            if not region[0] or name in VOID or name in ("html", "body"):
+            if not region[0] or name in VOID or name in ("html", "head", "body"):
                 # An element that need not be closed ends one of its kind; it opens no region.
                 if stack and stack[-1][0] == name:
-                    aside -= stack[-1][1]
-                    main -= stack[-1][2]
-                    stack.pop()
+                    shut(len(stack) - 1)
                 continue
             if stack and stack[-1][0] == name:
-                aside -= stack[-1][1]
-                main -= stack[-1][2]
-                stack.pop()
+                shut(len(stack) - 1)
         else:
             region = _region(name, found["attrs"] or found["attrs2"] or "")
+        if name in MAIN_TAGS and not article:
+            names = sum(entry[3] for entry in stack)
+            article = len(stack), names, 0 if name == "main" else names
         stack.append((name, *region))
         aside += region[0]
         main += region[1]
     if at < len(page):
         add(page[at:])
     close()
-    return out
+    least = min((n for n, b in zip(around, out, strict=True) if n is not None and not b[3]), default=0)
+    return [
+        (*b[:3], b[3] or (n is not None and n > least), b[4]) for n, b in zip(around, out, strict=True)
+    ]
 
 
 def described(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:

@@ -342,6 +342,35 @@ def test_main_text_without_an_article():
     assert mainblocks.main_texts([body])[0].split("\n") == [("word " * 40).strip(), ("text " * 50).strip()]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>no</title><body><article>{}</article>",
+        "<html><head><title>no</title><meta charset=utf-8><article>{}</article>",
+        "<head><title>no</title><script>var a = '<svg>';</script></head><article>{}<svg>no</svg></article>",
+        "<article><svg width='1' />{}<math/></article><div class=sidebar><svg><text>no</text></svg></div>",
+        "<article><svg><svg>no</svg><text>no</text></svg>{}</article>",
+        "<article><iframe src=a>{}</article>", "<article><object data=a>{}</article>",
+        "<article><noscript>{}</article>", "<article><template>{}</article>", "<article><svg>{}</article>",
+        "<article><svg>{}<iframe>no</iframe><svg>no</svg></article>",
+        "<article><select><option>no<option>no{}</article>",
+        "<div class='layout-with-sidebar'><article>{}</article><div class=sidebar><p>no</div></div>",
+        "<div class='has-sidebar'><main>{}</main></div>", "<div id='sidebar-right'><article>{}</article></div>",
+        "<div class='sidebar-right'><article>{}</article><div class=sidebar><article>no</article></div></div>",
+        "<div class='sidebar'><main>{}</main><div class=comments><article>no</article></div></div>",
+        "<main>{}<div class=comments><article>no</article></div></main>",
+    ],
+)
+def test_open_elements_and_layout_names_leave_the_article(page):
+    lines = [" ".join(f"{word}{i}" for i in range(40)) for word in ("first", "second")]
+    got = mainblocks.main_texts([page.format("".join(f"<p>{line}</p>" for line in lines))])
+    assert got[0].split("\n") == lines
+
+
+def test_many_open_elements_take_linear_time():
+    assert mainblocks.main_texts(["<article>" + "<svg><iframe>" * 50_000 + "word " * 40])[0] == ("word " * 40).strip()
+
+
 def test_pages_of_the_table_give_their_article(spark, data):
     import html
 
