@@ -3,7 +3,7 @@
 A text is the set of its distinct shingles, held as sorted 64-bit hashes. Texts with equal sets are
 one class, and only classes are joined. Two sets of the wanted similarity share one of the first few
 of their shingles in any common order; frequent shingles come last in ours. Each class goes to one
-tile per such shingle and band of set sizes (and, if partners may lie there, to the next band), so
+tile per such shingle and band of set sizes (and to each larger band where partners may lie), so
 every pair of similar classes meets in a tile. In a tile
 
 1. each class is compared with one centre only, a class that shares many tiles and so stands in the
@@ -133,14 +133,17 @@ def _records(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
             pick = within < np.repeat(head_size, counts)
             tokens, owner = hashes[order][pick], doc[pick]
             band = np.searchsorted(floors, np.maximum(counts, 1), side="right") - 1
-            visits = floors[np.minimum(band + 1, len(floors) - 1)] * percent <= 100 * counts
-            home = mix(tokens + (band[owner].astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
-            guest = visits[owner]
-            away = mix(
-                tokens[guest] + (band[owner[guest]].astype(U) + U(2)) * U(0x9E3779B97F4A7C15)
-            )
-            tiles = np.r_[home, away]
-            whose = np.r_[owner, owner[guest]]
+            # Home, then a guest of each larger band that may hold sets of the similarity.
+            tiles, whose = [], []
+            for step in range(len(floors)):
+                visits = floors[np.minimum(band + step, len(floors) - 1)] * percent <= 100 * counts
+                guest = visits[owner] if step else slice(None)
+                if step and not guest.any():
+                    break
+                place = band[owner[guest]].astype(U) + U(step + 1)
+                tiles.append(mix(tokens[guest] + place * U(0x9E3779B97F4A7C15)))
+                whose.append(owner[guest])
+            tiles, whose = np.concatenate(tiles), np.concatenate(whose)
             line = np.argsort(whose, kind="stable")
             per_doc = np.bincount(whose, minlength=len(texts))
             bits = bitmap_bits(counts)
@@ -266,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         )
         .withColumn("cls", F.monotonically_increasing_id())
     )
-    # The tiles of a class: one per token of its prefix, then as many as a guest of the next band.
+    # The tiles of a class: one per token of its prefix, then as many as a guest of each larger band.
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     seats = classes.select("cls", prefix.alias("p"), F.posexplode("tiles").alias("pos", "tile"))
     seats = seats.select(

@@ -118,6 +118,16 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
         assert got[i]["kept"] == (i == min(groups[label[i]]))
 
 
+@pytest.mark.parametrize("percent", [20, 50])
+def test_texts_link_with_their_beginnings(spark, percent):
+    texts = []
+    for n in range(1, 40):
+        words = [f"w{n}x{i}" for i in range(100 // percent * n + 1)]
+        texts += [" ".join(words), " ".join(words[: n + 1])]
+    got = jaccard.near_duplicates(table(spark, list(enumerate(texts))), 2, percent).collect()
+    assert {r["doc_id"]: r["component"] for r in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(empty(spark)).count() == 0
 
