@@ -11,8 +11,11 @@ from loreloom.llm.bpe import encode_texts
 from loreloom.llm.common import keyed
 from loreloom.llm.decontaminate import contaminated
 from loreloom.llm.exact import exact_groups, normalised
+from loreloom.llm.filteraudit import audit_filters
+from loreloom.llm.hardnegatives import mine_hard_negatives
 from loreloom.llm.jaccard import near_duplicates
 from loreloom.llm.mainblocks import extract_main_text
+from loreloom.llm.simhash import simhash_groups
 from loreloom.llm.substrings import drop_repeats
 from loreloom.llm.suffixes import drop_repeated_bytes
 from loreloom.llm.toxicity import held_out, score_texts
@@ -106,6 +109,24 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", moved)
+    return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = keyed(table(spark, folder, "documents").select("doc_id", "text"))
+    return simhash_groups(docs).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -117,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -176,4 +200,79 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, item_id, similarity, start, n_words FROM rated WHERE similarity >= 0.8
         QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
     """,
+    "op11_hard_negatives": r"""
+        WITH vectors AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        ), ranked AS (
+            SELECT anchor_id, positive_id, other_id AS negative_id, positive_score,
+                score AS negative_score, row_number() OVER (
+                    PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS place
+            FROM positives JOIN scored USING (anchor_id)
+            WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        )
+        SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE place <= 5
+    """,
+    "op13_filter_audit": r"""
+        WITH counted AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), marked AS (
+            SELECT doc_id, part,
+                (len(words) < 50)::INT
+                + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+                + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body))::INT
+                + 8 * regexp_matches(body, '[#$%&*|]')::INT
+                + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), FALSE)::INT AS mask
+            FROM counted
+        ), wanted AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1
+        ), cells AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good,
+                count(*) FILTER (toxic) AS toxic
+            FROM marked LEFT JOIN wanted USING (doc_id) GROUP BY part, mask
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (
+            SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM orders
+        ), masks AS (
+            SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+                list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65)))
+                    AS before
+            FROM steps
+        ), made AS (
+            SELECT part, filter_order, step,
+                sum(CASE WHEN mask & (own | coalesce(before, 0)::BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN n ELSE 0 END)
+                    AS removed,
+                sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0)::BIGINT > 0 THEN n ELSE 0 END)
+                    AS redundant,
+                sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN good ELSE 0 END)
+                    AS good_lost,
+                sum(CASE WHEN mask & own > 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN toxic ELSE 0 END)
+                    AS toxic_lost
+            FROM cells, masks GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+            redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+            good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+            sum(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley
+        FROM made
+    """,
 }
