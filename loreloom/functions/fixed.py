@@ -64,16 +64,12 @@ NON_ENTITY_TERMS = [
     "work", "works", "damage", "compare", "comparison", "better", "stronger",
     "spell", "item", "class",
 ]
-# Cyrillic letters that become one Latin letter (position by position) ...
-CYRILLIC_SINGLE = "АаБбВвГгҐґДдЕеЗзИиІіЙйКкЛлМмНнОоПпРрСсТтУуФф"
-LATIN_SINGLE = "AaBbVvHhGgDdEeZzYyIiYyKkLlMmNnOoPpRrSsTtUuFf"
-# ... letters that disappear, and letters that become several.
-CYRILLIC_DROPPED = "Ьь"
-CYRILLIC_MULTI = {
-    "Є": "Ye", "є": "ye", "Ж": "Zh", "ж": "zh", "Ї": "Yi", "ї": "yi",
-    "Х": "Kh", "х": "kh", "Ц": "Ts", "ц": "ts", "Ч": "Ch", "ч": "ch",
-    "Ш": "Sh", "ш": "sh", "Щ": "Shch", "щ": "shch", "Ю": "Yu", "ю": "yu",
-    "Я": "Ya", "я": "ya",
+# Spelling of Cyrillic letters; a capital has the spelling with a capital first letter.
+CYRILLIC_SPELLING = {
+    "а": "a", "б": "b", "в": "v", "г": "h", "ґ": "g", "д": "d", "е": "e", "є": "ye", "ж": "zh",
+    "з": "z", "и": "y", "і": "i", "ї": "yi", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n",
+    "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts",
+    "ч": "ch", "ш": "sh", "щ": "shch", "ь": "", "ю": "yu", "я": "ya",
 }
 
 # ---- requests --------------------------------------------------------------

@@ -116,12 +116,21 @@ def is_follow_up(query: Column) -> Column:
     )
 
 
+def spellings() -> tuple[str, str, dict[str, str]]:
+    """Letters for one `translate` (those that disappear last), their Latin letters, and the rest."""
+    both = dict(fixed.CYRILLIC_SPELLING)
+    both |= {letter.upper(): spelled.capitalize() for letter, spelled in fixed.CYRILLIC_SPELLING.items()}
+    short = {letter: spelled for letter, spelled in both.items() if len(spelled) == 1}
+    dropped = "".join(letter for letter, spelled in both.items() if not spelled)
+    longer = {letter: spelled for letter, spelled in both.items() if len(spelled) > 1}
+    return "".join(short) + dropped, "".join(short.values()), longer
+
+
 def latin(text: Column) -> Column:
     """Cyrillic letters spelled with Latin ones."""
-    out = F.translate(
-        text, fixed.CYRILLIC_SINGLE + fixed.CYRILLIC_DROPPED, fixed.LATIN_SINGLE
-    )
-    for letter, spelled in fixed.CYRILLIC_MULTI.items():
+    letters, single, longer = spellings()
+    out = F.translate(text, letters, single)
+    for letter, spelled in longer.items():
         out = F.replace(out, F.lit(letter), F.lit(spelled))
     return out
 

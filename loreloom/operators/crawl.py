@@ -77,7 +77,9 @@ def crawl_merge(state: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame
 
     Fetched and unchanged pages replace their row; a 304 touches checked_at and the status only.
     """
-    outcomes = last_by(outcomes, ["doc_id"])
+    # A plan has one outcome per manifest row; of rows that repeat a page the largest counts, wherever it is.
+    whole = F.struct(*[F.col(f"`{c}`") for c in outcomes.columns if c != "doc_id"])
+    outcomes = last_by(outcomes.withColumn("arrival", whole), ["doc_id"])
     written = outcomes.filter(F.col("status").isin("fetched", "unchanged")).select(
         "doc_id", "game_id", "source_id", "source_url", "raw_path", "content_hash",
         now.alias("fetched_at"), now.alias("checked_at"),

@@ -1,8 +1,9 @@
 """Entity registry: build, list, exact lookup, mentions in text, fuzzy lookup.
 
-Nothing here compares every text with every name. Substrings are found by equality: the registry
-gives the lengths that follow each leading fragment, the text yields the substrings of exactly
-those lengths, and these meet the names on the whole string. Fuzzy candidates share a whole
+Nothing here compares every text with every name. Mentions are found by one pass of each text over a
+trie of names. Substrings of looked-up values are found by equality: the registry gives the lengths
+that follow each leading fragment, the value yields the substrings of exactly those lengths, and these
+meet the names on the whole string. Fuzzy candidates share a whole
 segment of the name (a string within d edits keeps one of d + 1 segments), a word, or contain
 one another.
 """
@@ -11,8 +12,11 @@ from __future__ import annotations
 
 import math
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loreloom.functions import fixed
 from loreloom.functions import text as tx
@@ -22,6 +26,9 @@ from loreloom.session import join_small, materialise
 
 HEAD = 4
 STRETCH = 256
+SHARD_CHARS = 2 << 20  # of the names that one trie holds
+SLICE_BYTES = 4 << 20  # of the texts that meet a trie at once
+FAR = 8  # from this length ratio on, a partial match scores too little for any lookup
 ENTITY_COLUMNS = [
     "game_id", "canonical_name", "normalized_name", "content_type", "source_url", "aliases",
 ]
@@ -142,6 +149,74 @@ def substrings_like(haystacks: DataFrame, text: str, needles: DataFrame, name: s
     )
 
 
+def _name_cells(normal: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts and names dealt to cells (game_id, shard, slice) of bounded size.
+
+    The names of a tenant are cut into shards of about SHARD_CHARS characters, its texts into slices
+    of about SLICE_BYTES bytes; every shard meets every slice of its tenant in one cell, so neither a
+    tenant with most of the texts nor one with most of the names is one task.
+    """
+    shards = names.groupBy("game_id").agg(
+        F.ceil(F.sum(F.length("found") + 1) / SHARD_CHARS).cast("int").alias("__shards")
+    )
+    slices = normal.groupBy("game_id").agg(
+        F.ceil(F.sum(F.octet_length("text") + 64) / SLICE_BYTES).cast("int").alias("__slices")
+    )
+    grid = materialise(shards.join(slices, "game_id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    texts = (
+        join_small(normal, grid, ["game_id"])
+        .withColumn("slice", own("text_id", "__slices")).withColumn("shard", every("__shards"))
+        .select("game_id", "shard", "slice", "text_id", "text")
+    )
+    patterns = (
+        join_small(names.select("game_id", "found").distinct(), grid, ["game_id"])
+        .withColumn("shard", own("found", "__shards")).withColumn("slice", every("__slices"))
+        .select("game_id", "shard", "slice", "found")
+    )
+    return texts, patterns
+
+
+def first_places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """text_id, game_id, found and the first position (from 1) of each name in each text.
+
+    One pass over a text finds all names of the cell: a trie of the names with failure links, built
+    once per cell. Only hits leave a cell, as positions.
+    """
+    kind = texts.schema["text_id"].dataType.simpleString()
+    fields = texts.select("text_id").schema
+
+    def search(table: pa.Table, words: pa.Table) -> pa.Table:
+        ids, names, places = [], [], []
+        if table.num_rows and words.num_rows:
+            trie = ahocorasick.Automaton()
+            for word in words.column("found").to_pylist():
+                trie.add_word(word, word)
+            trie.make_automaton()
+            for text_id, text in zip(
+                table.column("text_id").to_pylist(), table.column("text").to_pylist(), strict=True
+            ):
+                first: dict[str, int] = {}
+                for end, word in trie.iter(text):
+                    first.setdefault(word, end)
+                ids += [text_id] * len(first)
+                names += first
+                places += [end - len(word) + 2 for word, end in first.items()]
+        games = table if table.num_rows else words
+        game = games.column("game_id")[0].as_py() if games.num_rows else None
+        return pa.table({
+            "text_id": pa.array(ids, to_arrow_schema(fields).field(0).type),
+            "game_id": pa.array([game] * len(ids), pa.string()),
+            "found": pa.array(names, pa.string()), "position": pa.array(places, pa.int32()),
+        })
+
+    by = ["game_id", "shard", "slice"]
+    return texts.groupBy(*by).cogroup(patterns.groupBy(*by)).applyInArrow(
+        search, f"text_id {kind}, game_id string, found string, position int"
+    )
+
+
 def mentions(
     entities: DataFrame, texts: DataFrame, content_type: str | None = None
 ) -> DataFrame:
@@ -151,17 +226,15 @@ def mentions(
     """
     if content_type is not None:
         entities = entities.filter(F.col("content_type") == content_type)
-    names = names_of(entities).select(
+    names = materialise(names_of(entities).select(
         "game_id", F.col("name").alias("found"), "canonical_name", "content_type", "source_url"
-    )
-    normal = texts.select("text_id", "game_id", tx.entity_name(F.col("text")).alias("text"))
-    seen = (
-        substrings_like(normal, "text", names, "found")
-        .groupBy("text_id", "game_id", "found")
-        .agg(F.min("at").alias("position"))
+    ))
+    normal = materialise(
+        texts.select("text_id", "game_id", tx.entity_name(F.col("text")).alias("text"))
+        .filter(F.col("text") != "")
     )
     return (
-        join_small(seen, names, ["game_id", "found"])
+        join_small(first_places(*_name_cells(normal, names)), names, ["game_id", "found"])
         .groupBy("text_id", "game_id", "canonical_name")
         .agg(
             F.min("position").alias("position"),
@@ -337,9 +410,13 @@ def fuzzy_lookup(
         .filter(F.length("value") >= fixed.FUZZY_MIN_LENGTH)
     )
 
+    # No match joins strings of such different lengths, so long names are out of reach of short values.
+    longest = open_keys.agg(F.coalesce(F.max(F.length("value")), F.lit(0))).first()[0]
+    names = materialise(names.filter(F.length("name") <= FAR * longest))
+
     part_miss = 1 - min_score / 100 / 0.9  # joint edit share a partial match may have
     part_miss = math.floor(part_miss * 2 * 1e6) / 1e6 + 1e-4
-    near = _near_candidates(open_keys, names, 1 - min_score / 100)
+    near = _near_candidates(open_keys, names.filter(F.length("name") <= 2 * longest), 1 - min_score / 100)
     words = _shared_word_candidates(open_keys, names)
     value_in_name = substrings_like(
         names.select("game_id", "name", F.col("name").alias("hay")), "hay",
@@ -348,12 +425,13 @@ def fuzzy_lookup(
     long_values = join_small(
         value_in_name, _long_needles(open_keys, "value", part_miss), ["game_id", "found"]
     ).filter(_inside(F.col("value"), F.col("name")))
+    inner_names = names.filter(F.length("name") <= longest)
     name_in_value = substrings_like(
         open_keys.select("game_id", "value", F.col("value").alias("hay")), "hay",
-        *_needles(_long_needles(names, "name", part_miss), "name", "found"),
+        *_needles(_long_needles(inner_names, "name", part_miss), "name", "found"),
     )
     long_names = join_small(
-        _long_needles(names, "name", part_miss), name_in_value, ["game_id", "found"]
+        _long_needles(inner_names, "name", part_miss), name_in_value, ["game_id", "found"]
     ).filter(_inside(F.col("name"), F.col("value")))
     pairs = (
         near.unionByName(words)

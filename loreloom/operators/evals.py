@@ -241,12 +241,39 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+def answer_report(rows: DataFrame) -> DataFrame:
+    """The rows of an answer report: the case, what was retrieved and answered, and the measures.
+
+    Wants the columns of `answer_rows` and those of the run; `sources` is an array of structs.
+    """
+    source = ("id", "title", "section", "url")
+    return rows.select(
+        "id", "query", "game_id", "category", "expected_source_titles", "expected_answer_terms",
+        F.col("source_titles").alias("retrieved_titles"), "retrieval_query", "rewrite_reasons", "answer",
+        F.transform("sources", lambda s: F.struct(*[s[c].alias(c) for c in source])).alias("sources"),
+        "cache_status", "source_hit", "citation_present", "answer_term_coverage",
+        "insufficient_context", "latency_ms", "answer_latency_ms",
+    )
+
+
 # ---- tool routing ----------------------------------------------------------
 
 
+def tool_passed() -> Column:
+    return F.col("expected_tool").eqNullSafe(F.col("selected_tool"))
+
+
+def tool_report(rows: DataFrame) -> DataFrame:
+    """The rows of a tool routing report."""
+    return rows.select(
+        "id", "query", "game_id", "category", "expected_tool", "selected_tool",
+        tool_passed().alias("passed"), "latency_ms",
+    )
+
+
 def tool_metrics(rows: DataFrame) -> DataFrame:
     """Wants category, expected_tool, selected_tool, latency_ms; null means no tool."""
-    passed = F.col("expected_tool").eqNullSafe(F.col("selected_tool")).cast("int")
+    passed = tool_passed().cast("int")
     return _overall_and_categories(
         rows,
         lambda _: {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.functions.embedding import EmbeddingProvider
@@ -35,19 +35,28 @@ def candidate_count(limit: int) -> int:
     return max(limit * 10, 50)
 
 
-def merge_candidates(vector_rows: DataFrame, lexical_rows: DataFrame) -> DataFrame:
-    """One row per query and chunk: best score, both provenances, place in the joined list.
+def result_key() -> Column:
+    """What tells results apart: the chunk id, or source, title, section and text where there is none."""
+    rest = [F.coalesce(c, F.lit("")) for c in ("source_url", "title", "section", "text")]
+    return F.coalesce(F.nullif("chunk_id", F.lit("")), F.concat_ws("|", *rest))
 
-    `vector_rows` has query_id, chunk_id, ord, score, rank; `lexical_rows` also bm25_score.
+
+def merge_candidates(
+    vector_rows: DataFrame, lexical_rows: DataFrame, key: str = "chunk_id"
+) -> DataFrame:
+    """One row per query and key: best score, both provenances, place in the joined list.
+
+    `vector_rows` has query_id, key, ord, score, rank; `lexical_rows` also bm25_score. Rows that may
+    lack a chunk id are merged on a column of `result_key`.
     """
     left = vector_rows.select(
-        "query_id", "chunk_id", F.col("score").alias("v_score"), F.col("rank").alias("v_rank")
+        "query_id", key, F.col("score").alias("v_score"), F.col("rank").alias("v_rank")
     )
     right = lexical_rows.select(
-        "query_id", "chunk_id", "bm25_score", F.col("score").alias("l_score"),
+        "query_id", key, "bm25_score", F.col("score").alias("l_score"),
         F.col("rank").alias("l_rank"),
     )
-    both = left.join(right, ["query_id", "chunk_id"], "full_outer")
+    both = left.join(right, ["query_id", key], "full_outer")
     sources = F.array_compact(
         F.array(
             F.when(F.col("v_rank").isNotNull(), F.lit("vector")),
@@ -55,7 +64,7 @@ def merge_candidates(vector_rows: DataFrame, lexical_rows: DataFrame) -> DataFra
         )
     )
     return both.select(
-        "query_id", "chunk_id",
+        "query_id", key,
         F.greatest("v_score", "l_score").alias("score"),
         "bm25_score",
         sources.alias("retrieval_sources"),

@@ -24,6 +24,7 @@ class LexicalIndex:
     terms: DataFrame  # chunk_id, ord, game_id, length, terms array<struct<term, tf>>
     total: int
     average_length: float
+    frequencies: DataFrame | None = None  # term, df, where an index keeps them
 
     def postings(self) -> DataFrame:
         """One row per chunk and term, all rows of a chunk in one partition."""
@@ -32,6 +33,8 @@ class LexicalIndex:
         ).select("chunk_id", "ord", "game_id", "length", "__t.term", "__t.tf")
 
     def document_frequencies(self) -> DataFrame:
+        if self.frequencies is not None:
+            return self.frequencies
         return (
             self.terms.select(F.explode("terms.term").alias("term"))
             .groupBy("term")
@@ -95,15 +98,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
+def term_rows(chunks: DataFrame, *more: str) -> DataFrame:
+    """One row per chunk: chunk_id, ord, game_id, `more`, its length and its distinct terms."""
+    keep = ["chunk_id", "ord", "game_id", *more]
+    return chunks.select(*keep, tx.tokens(index_text()).alias("__tokens")).select(
+        *keep, F.size("__tokens").alias("length"), term_counts(F.col("__tokens")).alias("terms")
+    )
+
+
 def build_index(chunks: DataFrame) -> LexicalIndex:
     """Index `chunks` (chunk_id, ord, game_id, title, section, content_type, text)."""
-    rows = chunks.select(
-        "chunk_id", "ord", "game_id", tx.tokens(index_text()).alias("__tokens")
-    ).select(
-        "chunk_id", "ord", "game_id", F.size("__tokens").alias("length"),
-        term_counts(F.col("__tokens")).alias("terms"),
-    )
-    terms = materialise(rows)
+    terms = materialise(term_rows(chunks))
     row = LexicalIndex(terms, 0, 0.0).statistics().first()
     return LexicalIndex(terms, row["total_documents"], row["average_length"])
 

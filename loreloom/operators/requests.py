@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loreloom.functions import fixed
 from loreloom.functions import text as tx
-from loreloom.operators.entities import list_entities, mentions
+from loreloom.operators.entities import exact_lookup, list_entities, mentions
 from loreloom.operators.numbering import running_number
 from loreloom.operators.rewrite import rewrite_queries
 from loreloom.operators.topk import top_k
@@ -314,6 +314,15 @@ def listing_evidence(selected: DataFrame, entities: DataFrame, rules: list[dict]
     return join_small(selected.select("query_id", "game_id", "tool"), evidence, ["tool"])
 
 
+def compared_entities(selected: DataFrame, entities: DataFrame) -> DataFrame:
+    """What a comparison tool knows of the things it compares: query_id, tool, argument, name and the
+    entity of that name; without one its columns are null."""
+    named = selected.filter(F.col("intent") == "comparison").select(
+        "query_id", "game_id", "tool", F.explode("arguments").alias("argument", "name")
+    )
+    return exact_lookup(entities, named.filter(F.col("argument") != "limit"))
+
+
 # ---- context, prompts and traces -------------------------------------------
 
 

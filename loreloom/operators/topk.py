@@ -25,11 +25,16 @@ def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(packed.alias("__first")).select(*keys, "__first.*")
 
 
-def last_by(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The last row per key in the order of the rows, for deliveries that repeat a key."""
+def last_by(df: DataFrame, keys: list[str], arrival: str = "arrival") -> DataFrame:
+    """The last row per key, for deliveries that repeat a key.
+
+    Rows that say in a column `arrival` when and where they were delivered go by that; the largest
+    counts. Others go by their place in the input, as it is read.
+    """
+    known = arrival in df.columns
     rest = [c for c in df.columns if c not in keys]
     packed = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col("__at"))
-    numbered = df.withColumn("__at", F.monotonically_increasing_id())
-    return numbered.groupBy(*keys).agg(packed.alias("__last")).select(*keys, "__last.*").select(
+    placed = df.withColumn("__at", F.col(arrival) if known else F.monotonically_increasing_id())
+    return placed.groupBy(*keys).agg(packed.alias("__last")).select(*keys, "__last.*").select(
         *[F.col(f"`{c}`") for c in df.columns]
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.operators.topk import top_k
-from loreloom.session import join_small
+from loreloom.session import join_small, materialise
 
 BLOCK_BYTES = 1 << 20
 
@@ -85,8 +85,8 @@ def vector_search(
     """
     query_type = queries.schema["query_id"].dataType.simpleString()
     key_type = vectors.schema[key].dataType.simpleString()
-    left = pack_blocks(vectors, key, "v_")
-    right = pack_blocks(queries.withColumn("ord", F.lit(0)), "query_id", "q_")
+    left = materialise(pack_blocks(vectors, key, "v_"))
+    right = materialise(pack_blocks(queries.withColumn("ord", F.lit(0)), "query_id", "q_"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

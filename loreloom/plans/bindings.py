@@ -23,18 +23,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
 
 
-def first_words(text, n: int):
-    """The first n words joined by a space; the rest of the text is not looked at."""
-    opening = F.regexp_extract(
-        text, r"^(?:[^\p{L}\p{N}_]*[\p{L}\p{N}_]+){1,%d}" % n, 0
-    )
-    return F.array_join(tx.words(opening), " ")
-
-
 def all_words(text):
     return F.array_join(tx.words(text), " ")
 
 
+def headline(text):
+    """The words of the first line, all of them."""
+    return all_words(F.get(lines_of(text), F.lit(0)))
+
+
 def raw_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _raw_documents(table(spark, folder, "documents"))
 
@@ -48,7 +45,7 @@ def _raw_documents(documents: DataFrame) -> DataFrame:
             F.col("source"), F.when(doc % 5 == 0, "_reddit").otherwise("_wiki")
         ).alias("source_id"),
         F.concat(F.lit("https://wiki.example/"), doc.cast("string")).alias("source_url"),
-        first_words(F.col("text"), 2).alias("title"),
+        headline(F.col("text")).alias("title"),
         F.element_at(
             tx.string_array(["spell", "item", "character", "mechanic"]),
             (doc % 4 + 1).cast("int"),
@@ -278,24 +275,24 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     words = tx.words(F.col("text"))
     none = F.array().cast("array<string>")
-    first = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
-    third = F.coalesce(F.get(words, F.lit(2)), F.lit(""))
     terms = (
         F.when(turn % 7 == 3, F.array(F.array(F.lit("nope"))))
         .when(turn % 2 == 0, F.array().cast("array<array<string>>"))
-        .otherwise(F.array(F.array(first, F.lit("zzz")), F.array(third)))
+        .when(turn % 7 == 5, F.transform(words, lambda w: F.array(F.concat(w, F.lit("zzz")), F.lit("the"))))
+        .otherwise(F.transform(words, lambda w: F.array(w, F.lit("zzz"))))
     )
     return (
         table(spark, folder, "conversations")
         .filter(F.col("role") == "assistant")
         .select(
+            _request_id().alias("id"),
             F.concat(
                 F.col("text"),
                 pick([" [1]", " [2] not enough context", "", " [3]"], (conv + turn) % 4),
             ).alias("answer"),
-            F.when(turn % 5 == 4, none).otherwise(F.slice(words, 1, 2)).alias("source_titles"),
+            F.when(turn % 5 == 4, none).otherwise(words).alias("source_titles"),
             F.when(conv % 3 == 0, none)
-            .when(conv % 3 == 1, F.array(first))
+            .when(conv % 3 == 1, words)
             .otherwise(F.array(F.lit("zzz")))
             .alias("expected_source_titles"),
             terms.alias("expected_answer_terms"),
@@ -561,3 +558,108 @@ def crawl_stream(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 def chunk_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _chunk_rows(_corpus(_raw_documents(_stream(spark, folder, "documents"))))
+
+
+def chunk_deliveries(spark: SparkSession, folder: str) -> list[tuple[str, str, DataFrame]]:
+    """(run, mode, stream of chunks): all documents, new versions of the labelled ones, and a rebuild.
+
+    The rebuild brings the labelled documents of one source in a third version, over several batches.
+    """
+    from loreloom.session import scratch_path
+    from loreloom.streaming.jobs import file_stream
+
+    changed = changed_chunks(spark, folder)
+    third = F.regexp_replace("text", " v2$", " v3")
+    deliveries = [
+        ("landed", "append", chunk_rows(spark, folder), 1000),
+        ("changed", "append", changed, 1000),
+        ("rebuilt", "rebuild-source",
+         changed.filter(F.col("source_id") == "src1_wiki").withColumn("text", third).repartition(4, "ord"), 2),
+    ]
+    out = []
+    for run, mode, rows, at_once in deliveries:
+        path = scratch_path(spark, "delivery")
+        rows.write.parquet(path)
+        out.append((run, mode, file_stream(spark, path, "*.parquet", rows.schema, at_once, arrival=True)))
+    return out
+
+
+def cache_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The cached answers as puts, and two rounds of questions half a cache life apart, as a stream."""
+    from loreloom.functions import fixed
+    from loreloom.session import scratch_path
+    from loreloom.streaming.jobs import file_stream
+
+    wanted, cache = cache_rows(spark, folder)
+    none = F.lit(None).cast("string")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    puts = cache.select(
+        F.concat(F.lit("put:"), "cache_key", F.lit(":"), F.col("created_at").cast("string")).alias("event_id"),
+        F.lit("put").alias("kind"), "cache_key", "answer", F.col("created_at").alias("at"),
+    )
+    ask = wanted.select("cache_key", F.col("question_id").cast("string").alias("question"))
+    later = F.make_dt_interval(secs=F.lit(fixed.ANSWER_CACHE_TTL_SECONDS / 2))
+    path = scratch_path(spark, "cache-events")
+    for kind, at in (("now", now), ("later", now + later)):
+        asked = ask.select(
+            F.concat_ws(":", F.lit(kind), "question").alias("event_id"), F.lit("ask").alias("kind"),
+            "cache_key", none.alias("answer"), at.alias("at"),
+        )
+        rows = puts.unionByName(asked) if kind == "now" else asked
+        rows.write.mode("append").parquet(f"{path}/{kind}")
+    return file_stream(spark, f"{path}/*", "*.parquet", rows.schema)
+
+
+def answer_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers with what a run would note about them."""
+    first = F.coalesce(F.get("source_titles", F.lit(0)), F.lit(""))
+    return answers(spark, folder).select(
+        "*", F.concat(F.lit("about "), first).alias("query"), F.lit("en").alias("game_id"),
+        F.concat(F.lit("about "), F.lower(first)).alias("retrieval_query"),
+        tx.string_array(["lower"]).alias("rewrite_reasons"), F.lit("miss").alias("cache_status"),
+        F.transform(
+            "source_titles",
+            lambda t, i: F.struct(
+                (i + 1).alias("id"), t.alias("title"), F.lit("Lead").alias("section"),
+                F.concat(F.lit("https://wiki.example/"), t).alias("url"), F.lit(0.5).alias("score"),
+            ),
+        ).alias("sources"),
+    )
+
+
+def golden_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """User turns as lines of a golden file; terms are strings, lists, and strings that look like lists."""
+    words = tx.words(F.col("text"))
+    quoted = lambda w: F.concat(F.lit('"'), w, F.lit('"'))
+    term = lambda w, i: (
+        F.when(i % 3 == 0, quoted(w))
+        .when(i % 3 == 1, F.concat(F.lit("["), quoted(w), F.lit(', "or"]')))
+        .otherwise(quoted(F.concat(F.lit('[\\"'), w, F.lit('\\"]'))))
+    )
+    game = F.when(F.col("turn") % 2 == 0, ', "game_id": "blue_prince"').otherwise("")
+    return table(spark, folder, "conversations").filter(F.col("role") == "user").select(
+        F.concat(
+            F.lit('{"id": "'), _request_id(), F.lit('", "query": "'), F.array_join(words, " "), F.lit('"'),
+            game, F.lit(', "expected_answer_terms": ['), F.array_join(F.transform(words, term), ", "),
+            F.lit("]}"),
+        ).alias("value")
+    )
+
+
+def landable(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw documents with the time they were fetched and no license."""
+    return raw_documents(spark, folder).select(
+        "doc_id", "game_id", "source_id", "source_url", "title", "text_en", "content_type",
+        (F.lit("2024-01-01 00:00:00").cast("timestamp")
+         + F.make_dt_interval(mins=(F.col("ord") % 1440).cast("int"))).alias("fetched_at"),
+    )
+
+
+def spell_comparisons(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions that compare the title of each spell of the first tenant with that of a later one."""
+    spells = game_corpus(spark, folder).filter("game_id = 'bg3' AND content_type = 'spell'").select("ord", "title")
+    later = spells.select((F.col("ord") - 20).alias("ord"), F.col("title").alias("other"))
+    return spells.join(later, "ord").select(
+        F.col("ord").cast("string").alias("query_id"), F.lit("bg3").alias("game_id"),
+        F.concat(F.lit("compare "), "title", F.lit(" and "), "other").alias("query"),
+    )

@@ -11,12 +11,12 @@ from loreloom.functions import text as tx
 from loreloom.functions.embedding import hash_embedding
 from loreloom.functions.html import article_text_of
 from loreloom.operators import (
-    chunking, crawl, entities, evals, hybrid, indexing, lexical, manifests, numbering, requests,
+    chunking, crawl, entities, evals, hybrid, indexing, ivf, lexical, manifests, numbering, requests,
     rerank, rewrite, sections, vector,
 )
 from loreloom.plans import bindings as b
-from loreloom.session import materialise, scratch_path
-from loreloom.sources import files, landed
+from loreloom.session import join_small, materialise, scratch_path
+from loreloom.sources import adapter, files, landed
 from loreloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +164,71 @@ def chunk_table(spark, folder):
     )
 
 
+@query
+def landed_documents(spark, folder):
+    """Raw documents landed as JSON, read by the data source; the filter leaves out files."""
+    path = scratch_path(spark, "landed")
+    adapter.land_documents(b.landable(spark, folder), path)
+    return adapter.read_landed(spark, path).filter("game_id = 'en'").select(
+        "doc_id", "game_id", "source_id", "title", "content_type", F.md5("text_en").alias("text_md5"),
+        F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"),
+    )
+
+
+@query
+def landed_stream(spark, folder):
+    """The same files as a stream: rows and bytes of text per tenant and source."""
+    path, root = scratch_path(spark, "landed"), scratch_path(spark, "arrivals")
+    adapter.land_documents(b.landable(spark, folder), path)
+    stream = adapter.landed_stream(spark, path)
+
+    def process(batch, number):
+        counted = batch.groupBy("game_id", "source_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.length("text_en")).alias("n_chars")
+        )
+        counted.write.mode("overwrite").parquet(f"{root}/counts/batch={number}")
+
+    jobs.run_available(stream, process, f"{root}/progress")
+    return spark.read.parquet(f"{root}/counts").groupBy("game_id", "source_id").agg(
+        F.sum("n").alias("n"), F.sum("n_chars").alias("n_chars")
+    )
+
+
+@query
+def raw_json_documents(spark, folder):
+    """The landed JSON through Spark's own reader."""
+    path = scratch_path(spark, "landed")
+    b.landable(spark, folder).write.json(path)
+    return files.read_raw_documents(spark, path, lines=True).select(
+        "doc_id", "game_id", "source_id", "title", F.md5("text_en").alias("text_md5")
+    )
+
+
+@query
+def entity_files(spark, folder):
+    """The registry written as JSON lines and read back."""
+    path = scratch_path(spark, "entities")
+    entities.build_entities(b.corpus(spark, folder)).write.json(path)
+    return files.read_entities(spark, path, lines=True).select(
+        "game_id", "canonical_name", "normalized_name", "content_type", "source_url",
+        joined("aliases").alias("aliases"),
+    )
+
+
+@query
+def golden_answers(spark, folder):
+    """Answer cases written as golden lines and read back; terms keep their kind."""
+    path = scratch_path(spark, "golden")
+    b.golden_lines(spark, folder).write.text(path)
+    return files.read_answer_golden(spark, path).select(
+        "id", "query", "game_id", F.size("expected_source_titles").alias("n_titles"),
+        F.array_join(
+            F.transform("expected_answer_terms", lambda t: F.array_join(t, "~")), "|"
+        ).alias("terms"),
+        "allow_insufficient_context",
+    )
+
+
 # ---- retrieval -------------------------------------------------------------
 
 
@@ -209,6 +274,20 @@ def vector_topk(spark, folder):
     )
 
 
+@query
+def vector_ivf(spark, folder):
+    """The same question through an inverted file, with the share of the exact results it finds."""
+    vectors = b.table(spark, folder, "embeddings").select(
+        "vec_id", F.col("vec_id").alias("ord"), F.col("label").cast("string").alias("game_id"),
+        "embedding",
+    )
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "game_id", "embedding")
+    centres = ivf.fit_centres(vectors, "vec_id")
+    found = materialise(ivf.ivf_search(ivf.assign(vectors, centres), asked, centres, 5, "vec_id"))
+    recall = ivf.recall(found, vector.vector_search(vectors, asked, 5, key="vec_id"), "vec_id")
+    return found.join(recall, "query_id").select("query_id", "vec_id", "score", "rank", "recall")
+
+
 def _vectors(spark, folder, k):
     embed = hash_embedding(VECTOR_SIZE)
     asked = b.queries(spark, folder).select(
@@ -223,15 +302,31 @@ def hybrid_merge(spark, folder):
     return merged.drop("retrieval_sources")
 
 
+@query
+def hybrid_merge_keys(spark, folder):
+    """The merge where every third chunk has lost its id and is known by its source and text."""
+    chunks = b.corpus(spark, folder).withColumn(
+        "own_id", F.when(F.col("ord") % 3 != 0, F.col("chunk_id"))
+    )
+    renamed = chunks.withColumnsRenamed({"chunk_id": "place", "own_id": "chunk_id"})
+    keys = materialise(renamed.select("place", hybrid.result_key().alias("result_key")))
+
+    def known(rows):
+        return join_small(keys, materialise(rows.withColumnRenamed("chunk_id", "place")), ["place"]).drop("place")
+
+    merged = hybrid.merge_candidates(
+        known(_vectors(spark, folder, 50)), known(_bm25(spark, folder, 50)), "result_key"
+    )
+    return merged.withColumn("result_key", F.md5("result_key")).drop("retrieval_sources")
+
+
 def _candidates(spark, folder):
     """BM25 candidates with their payload and the query text."""
     found = _bm25(spark, folder, 50).select(
         "query_id", "chunk_id", "score", F.lit(0).alias("list_no"), F.col("rank").alias("list_rank")
     )
     rows = hybrid.with_payload(found, b.corpus(spark, folder))
-    return rows.join(
-        F.broadcast(b.queries(spark, folder).select("query_id", "query")), "query_id"
-    )
+    return join_small(rows, b.queries(spark, folder).select("query_id", "query"), ["query_id"])
 
 
 @query
@@ -428,6 +523,21 @@ def answer_metrics(spark, folder):
     return evals.answer_metrics(evals.answer_rows(b.answers(spark, folder)))
 
 
+@query
+def answer_report(spark, folder):
+    """The answer report written to the shared folder and read back."""
+    path = scratch_path(spark, "report")
+    rows = evals.answer_rows(b.answer_runs(spark, folder))
+    cases = evals.answer_report(rows)
+    files.write_report(evals.answer_metrics(rows), cases, path)
+    return spark.read.schema(cases.schema).json(f"{path}/cases").select(
+        "id", "category", "retrieval_query", F.size("sources").alias("n_sources"),
+        F.get("sources", F.lit(0))["url"].alias("first_url"), "source_hit", "citation_present",
+        F.round("answer_term_coverage", 6).alias("answer_term_coverage"), "insufficient_context",
+        F.col("latency_ms").cast("bigint").alias("latency_ms"),
+    )
+
+
 # ---- requests --------------------------------------------------------------
 
 
@@ -494,14 +604,31 @@ def tool_routing(spark, folder):
     )
 
 
+def _tool_cases(spark, folder):
+    chosen = _selected(spark, folder).select(
+        F.col("query_id").alias("id"), "game_id", F.col("tool").alias("selected_tool")
+    )
+    expected = b.expected_tools(spark, folder).withColumnRenamed("request_id", "id")
+    asked = b.requests(spark, folder).select(F.col("request_id").alias("id"), F.col("message").alias("query"))
+    return chosen.join(expected, "id").join(asked, "id")
+
+
 @query
 def tool_metrics(spark, folder):
-    rows = (
-        _selected(spark, folder)
-        .select(F.col("query_id").alias("request_id"), F.col("tool").alias("selected_tool"))
-        .join(b.expected_tools(spark, folder), "request_id")
+    return evals.tool_metrics(_tool_cases(spark, folder))
+
+
+@query
+def tool_report(spark, folder):
+    """The tool routing report written to the shared folder and read back."""
+    path = scratch_path(spark, "report")
+    rows = materialise(_tool_cases(spark, folder))
+    cases = evals.tool_report(rows)
+    files.write_report(evals.tool_metrics(rows), cases, path)
+    return spark.read.schema(cases.schema).json(f"{path}/cases").select(
+        "id", "game_id", "category", "expected_tool", "selected_tool", "passed", "latency_ms",
+        F.md5("query").alias("query_md5"),
     )
-    return evals.tool_metrics(rows)
 
 
 @query
@@ -523,6 +650,18 @@ def tool_evidence(spark, folder):
     )
 
 
+@query
+def tool_entities(spark, folder):
+    """The registry's rows of the spells that a comparison was asked for."""
+    registry = b.game_entities(spark, folder)
+    selected = requests.select_tools(b.spell_comparisons(spark, folder), entities=registry, fix_names=False)
+    found = requests.compared_entities(selected, registry)
+    return found.select(
+        F.col("query_id").alias("request_id"), "tool", "argument", "name", "canonical_name",
+        "content_type", "source_url",
+    )
+
+
 @query
 def request_answers(spark, folder):
     """Requests through routing, guard, memory, retrieval, prompt and trace columns."""
@@ -545,9 +684,7 @@ def request_answers(spark, folder):
 
 def _contexts(spark, folder):
     results = hybrid.with_payload(_bm25(spark, folder, 5).drop("ord"), b.corpus(spark, folder))
-    return requests.context_lists(results).join(
-        F.broadcast(b.queries(spark, folder)), "query_id"
-    )
+    return join_small(requests.context_lists(results), b.queries(spark, folder), ["query_id"])
 
 
 @query
@@ -574,7 +711,7 @@ def source_mix(spark, folder):
     results = hybrid.with_payload(_bm25(spark, folder, 5).drop("ord"), b.corpus(spark, folder))
     mix = requests.source_mix(results)
     policy = rerank.apply_source_policy(
-        results.join(F.broadcast(b.queries(spark, folder).select("query_id", "query")), "query_id")
+        join_small(results, b.queries(spark, folder).select("query_id", "query"), ["query_id"])
     )
     reasons = requests.context_lists(policy).select(
         "query_id", joined(requests.policy_reasons(F.col("context"))).alias("policy_reasons")
@@ -783,3 +920,36 @@ def stream_crawl(spark, folder):
 @query
 def stream_index(spark, folder):
     return _point_columns(jobs.index_points(b.chunk_stream(spark, folder)))
+
+
+def _stored_index(spark, folder):
+    """An inverted index built by three runs of deliveries."""
+    root = scratch_path(spark, "postings")
+    for run, mode, stream in b.chunk_deliveries(spark, folder):
+        index = jobs.index_postings(stream, mode, root, run)
+    return index
+
+
+@query
+def stream_postings(spark, folder):
+    """Document frequencies and statistics as they stand after appends, changes and a rebuild."""
+    index = _stored_index(spark, folder)
+    return index.document_frequencies().select(
+        "term", "df", F.lit(index.total).cast("bigint").alias("total_documents"),
+        F.round(F.lit(index.average_length), 6).alias("average_length"),
+    )
+
+
+@query
+def stream_bm25(spark, folder):
+    """The questions against that index."""
+    found = lexical.search(_stored_index(spark, folder), b.queries(spark, folder), 5)
+    return found.select("query_id", "chunk_id", "bm25_score", "score", "rank")
+
+
+@query
+def stream_cache(spark, folder):
+    """Hits, misses and expiries of a stream of answers and questions."""
+    return jobs.cached_answers(b.cache_events(spark, folder)).select(
+        "event_id", "cache_key", "answer", "cache_status"
+    )

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from loreloom.functions import fixed
+from loreloom.functions.text import spellings
 from loreloom.plans import bindings as b
 
 WS = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -84,11 +85,9 @@ def normalise(x: str) -> str:
 
 
 def entity_name(x: str) -> str:
-    out = (
-        f"translate({x}, {lit(fixed.CYRILLIC_SINGLE + fixed.CYRILLIC_DROPPED)}, "
-        f"{lit(fixed.LATIN_SINGLE)})"
-    )
-    for letter, spelled in fixed.CYRILLIC_MULTI.items():
+    letters, single, longer = spellings()
+    out = f"translate({x}, {lit(letters)}, {lit(single)})"
+    for letter, spelled in longer.items():
         out = f"replace({out}, {lit(letter)}, {lit(spelled)})"
     return squeeze(f"replace({fold(out)}, '_', ' ')")
 
@@ -165,7 +164,7 @@ def oracle(name: str, final: str, recursive: bool = False) -> None:
 cte("v_raw", f"""
 SELECT 'doc:' || doc_id AS doc_id, lang AS game_id,
   source || CASE WHEN doc_id % 5 = 0 THEN '_reddit' ELSE '_wiki' END AS source_id,
-  'https://wiki.example/' || doc_id AS source_url, {head('text', 2)} AS title,
+  'https://wiki.example/' || doc_id AS source_url, {spoken("string_split(text, chr(10))[1]")} AS title,
   {pick(['spell', 'item', 'character', 'mechanic'], 'doc_id % 4')} AS content_type,
   text AS text_en, doc_id AS ord
 FROM documents""")
@@ -784,11 +783,12 @@ SELECT event_type, p AS p95 FROM ({nearest('events', 'value', 'event_type')})
 UNION ALL SELECT 'all', p FROM ({nearest('events', 'value')})""")
 
 cte("v_answers", f"""
-SELECT text || {pick([' [1]', ' [2] not enough context', '', ' [3]'], '(conv_id + turn) % 4')} AS answer,
-  CASE WHEN turn % 5 = 4 THEN {EMPTY} ELSE list_slice({words('text')}, 1, 2) END AS sources,
-  CASE conv_id % 3 WHEN 0 THEN {EMPTY} WHEN 1 THEN [coalesce({words('text')}[1], '')] ELSE ['zzz'] END AS wanted,
+SELECT conv_id || ':' || turn AS id, text || {pick([' [1]', ' [2] not enough context', '', ' [3]'], '(conv_id + turn) % 4')} AS answer,
+  CASE WHEN turn % 5 = 4 THEN {EMPTY} ELSE {words('text')} END AS sources,
+  CASE conv_id % 3 WHEN 0 THEN {EMPTY} WHEN 1 THEN {words('text')} ELSE ['zzz'] END AS wanted,
   CASE WHEN turn % 7 = 3 THEN [['nope']] WHEN turn % 2 = 0 THEN []::VARCHAR[][]
-    ELSE [[coalesce({words('text')}[1], ''), 'zzz'], [coalesce({words('text')}[3], '')]] END AS terms,
+    WHEN turn % 7 = 5 THEN list_transform({words('text')}, lambda w: [w || 'zzz', 'the'])
+    ELSE list_transform({words('text')}, lambda w: [w, 'zzz']) END AS terms,
   conv_id % 2 = 0 AS allow, {pick(['rooms', 'lore', None], 'conv_id % 3')} AS category,
   (conv_id * 13 + turn) % 101 AS latency_ms
 FROM conversations WHERE role = 'assistant'""")
@@ -1111,3 +1111,74 @@ oracle("embed_batch", f"""
 SELECT {point_id('chunk_id')} AS point_id, chunk_id, 64 AS dimensions, round(e[1], 6) AS first_value FROM v_emb""")
 oracle("stream_index", f"""
 SELECT {point_id('chunk_id')} AS point_id, chunk_id, game_id, source_id, md5(text) AS md5 FROM v_corpus""")
+
+# After the deliveries: new versions of labelled documents; of a rebuilt source only what came again.
+cte("v_delivered", """
+SELECT c.* REPLACE (CASE WHEN doc_id IS NULL THEN text WHEN source_id = 'src1_wiki' THEN text || ' v3'
+  ELSE text || ' v2' END AS text) FROM v_corpus c LEFT JOIN (SELECT DISTINCT doc_id FROM labels) ON doc_id = ord
+WHERE source_id <> 'src1_wiki' OR doc_id IS NOT NULL OR game_id NOT IN (SELECT game_id FROM v_corpus
+  JOIN labels ON doc_id = ord WHERE source_id = 'src1_wiki')""")
+bm25_ctes("d", "v_delivered", "v_queries")
+oracle("stream_postings", """
+SELECT term, df, n AS total_documents, round(avgdl, 6) AS average_length FROM v_df_d, v_stats_d""")
+oracle("stream_bm25", """
+SELECT query_id, chunk_id, bm25_score, score, rank::INTEGER AS rank FROM v_bm25_d WHERE rank <= 5""")
+oracle("stream_cache", f"""
+SELECT kind || ':' || question_id AS event_id, cache_key, answer,
+  CASE WHEN answer IS NULL THEN 'miss' ELSE 'hit' END AS cache_status
+FROM (SELECT *, unnest([0, 1]) AS half FROM v_cache_keys)
+JOIN (VALUES (0, 'now'), (1, 'later')) k(half, kind) USING (half)
+LEFT JOIN (SELECT half, cache_key, arg_max(answer, created_at) AS answer
+  FROM v_cache, (VALUES (0), (1)) h(half)
+  WHERE epoch(TIMESTAMP '2024-02-01 00:00:00') + half * {fixed.ANSWER_CACHE_TTL_SECONDS} / 2
+    - epoch(created_at) < {fixed.ANSWER_CACHE_TTL_SECONDS}
+  GROUP BY ALL) USING (half, cache_key)""")
+
+# ---- files and reports -----------------------------------------------------
+
+oracle("landed_documents", """
+SELECT doc_id, game_id, source_id, title, content_type, md5(text_en) AS text_md5, strftime(
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes((ord % 1440)::INTEGER), '%Y-%m-%d %H:%M:%S') AS fetched_at
+FROM v_raw WHERE game_id = 'en'""")
+oracle("landed_stream", """
+SELECT game_id, source_id, count(*) AS n, sum(length(text_en))::BIGINT AS n_chars FROM v_raw GROUP BY ALL""")
+oracle("raw_json_documents", """
+SELECT doc_id, game_id, source_id, title, md5(text_en) AS text_md5 FROM v_raw""")
+ORACLES["entity_files"] = ORACLES["entity_registry"]
+oracle("golden_answers", f"""
+SELECT conv_id || ':' || turn AS id, array_to_string({words('text')}, ' ') AS query,
+  CASE WHEN turn % 2 = 0 THEN 'blue_prince' ELSE {lit(fixed.DEFAULT_TENANT)} END AS game_id,
+  0 AS n_titles, array_to_string(list_transform({words('text')}, lambda w, i: CASE (i - 1) % 3
+    WHEN 0 THEN w WHEN 1 THEN w || '~or' ELSE '["' || w || '"]' END), '|') AS terms,
+  false AS allow_insufficient_context
+FROM conversations WHERE role = 'user'""")
+oracle("hybrid_merge_keys", """
+SELECT query_id, md5(CASE WHEN ord % 3 <> 0 THEN chunk_id
+    ELSE source_url || '|' || title || '|' || section || '|' || text END) AS result_key,
+  m.score, bm25_score, retrieval_source, list_no, list_rank
+FROM v_merged m JOIN v_corpus USING (chunk_id)""")
+oracle("answer_report", """
+SELECT id, category, 'about ' || lower(coalesce(sources[1], '')) AS retrieval_query,
+  len(sources)::INTEGER AS n_sources, 'https://wiki.example/' || sources[1] AS first_url,
+  hit AS source_hit, cited AS citation_present, round(coverage, 6) AS answer_term_coverage,
+  lacking AS insufficient_context, latency_ms FROM v_answer_rows""")
+oracle("tool_report", """
+SELECT request_id AS id, t.game_id, category, expected AS expected_tool, s.tool AS selected_tool,
+  expected IS NOT DISTINCT FROM s.tool AS passed, latency_ms, md5(message) AS query_md5
+FROM v_tools t JOIN v_expected_tools USING (request_id) JOIN v_requests USING (request_id)""")
+cte("v_cmp_routed", """
+SELECT a.ord::VARCHAR AS request_id, struct_pack(g := 'bg3') AS rt,
+  'compare ' || a.title || ' and ' || b.title AS message
+FROM v_game_corpus a JOIN v_game_corpus b ON b.ord = a.ord + 20
+WHERE a.game_id = 'bg3' AND b.game_id = 'bg3' AND a.content_type = 'spell' AND b.content_type = 'spell'""")
+for part in ("words", "text", "hits", "s"):  # the steps from routed requests to tools, for these questions
+    own = "v_tools" if part == "s" else f"v_tool_{part}"
+    body = CTES[own].replace("v_routed", "v_cmp_routed").replace("v_tool_", "v_cmp_")
+    cte("v_cmp_tools" if part == "s" else f"v_cmp_{part}", body)
+oracle("tool_entities", f"""
+SELECT request_id, 'compare_bg3_spells' AS tool, argument, name, canonical_name, content_type, source_url
+FROM (SELECT request_id, unnest(['spell_a', 'spell_b']) AS argument, unnest([names[1], names[2]]) AS name
+  FROM v_cmp_tools JOIN v_cmp_hits USING (request_id) WHERE s.tool = 'compare_bg3_spells')
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY normalized_name
+  ORDER BY {fold('canonical_name')}, canonical_name) AS r FROM v_game_entities WHERE game_id = 'bg3')
+  ON r = 1 AND normalized_name = {entity_name('name')}""")

@@ -86,13 +86,25 @@ def materialise(df: DataFrame) -> DataFrame:
             spark.conf.unset(DROP_SHUFFLES)
         else:
             spark.conf.set(DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path  # a plain scan: counting it reads footers only
+    return table
+
+
+def is_written(df: DataFrame) -> bool:
+    return hasattr(df, "written_to")
 
 
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
 ) -> bool:
-    """Measure a side before broadcasting it. Looks at no more than `max_rows + 1` rows."""
+    """Measure a side before broadcasting it.
+
+    A written table is counted from its footers, and only a small count is followed by a look at the
+    bytes. Anything else is run for no more than `max_rows + 1` rows.
+    """
+    if is_written(df) and df.count() > max_rows:
+        return False
     size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     rows, octets = (
         df.select(size.alias("octets"))
@@ -108,13 +120,13 @@ def join_small(
 ) -> DataFrame:
     """Equi-join with the side expected to be small.
 
-    A side within the measured bound is broadcast, and the other keeps its place. Beyond it, `big`
-    is spread over `salts` slices per key and the other side repeated per slice, so that no key,
+    A side within the measured bound is broadcast, and the other keeps its place (`big` is measured
+    only where it is a written table). Beyond it, `big` is spread over `salts` slices per key and the other side repeated per slice, so that no key,
     however frequent, lands in one task. `how` may be inner, left or left_semi.
     """
     if fits_broadcast(small):
         return big.join(F.broadcast(small), on, how)
-    if how == "inner" and fits_broadcast(big):
+    if how == "inner" and is_written(big) and fits_broadcast(big):
         return F.broadcast(big).join(small, on)
     slice_of = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts))
     left = big.withColumn("__slice", slice_of.cast("int"))

@@ -80,9 +80,9 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.select(*CHUNK_COLUMNS).write.mode("overwrite").json(path)
 
 
-def read_raw_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One pretty-printed JSON object per file."""
-    rows = spark.read.schema(RAW_SCHEMA).option("multiLine", True).json(path, mode="FAILFAST")
+def read_raw_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One pretty-printed JSON object per file, or JSON lines."""
+    rows = spark.read.schema(RAW_SCHEMA).option("multiLine", not lines).json(path, mode="FAILFAST")
     return rows.select(
         *[c if c == "license" else _required(c) for c in rows.columns]
     )
@@ -98,9 +98,9 @@ def write_raw_documents(documents: DataFrame, path: str) -> None:
     )
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """An entity export: one JSON array or JSON lines."""
-    rows = spark.read.schema(ENTITY_SCHEMA).option("multiLine", True).json(path, mode="FAILFAST")
+def read_entities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """An entity export: files that hold one JSON array each, or JSON lines."""
+    rows = spark.read.schema(ENTITY_SCHEMA).option("multiLine", not lines).json(path, mode="FAILFAST")
     names = [c for c in rows.columns if c != "aliases"]
     return rows.select(
         *[_required(c) for c in names],
@@ -129,24 +129,34 @@ def read_retrieval_golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_answer_golden(spark: SparkSession, path: str) -> DataFrame:
-    """A term is a string or a list of alternatives; both become a list of alternatives."""
-    rows = spark.read.schema(ANSWER_GOLDEN_SCHEMA).json(path, mode="FAILFAST")
-    return rows.select(
+    """A term is a string or a list of alternatives; both become a list of alternatives.
+
+    Lines are read as VARIANT, so what a value is decides, not what it looks like: the string "[a]"
+    is a string.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select(F.parse_json("value").alias("v"))
+    get = lambda name, kind: F.variant_get("v", f"$.{name}", kind)
+    fields = rows.select(
+        *[get(n, "string").alias(n) for n in ("id", "query", "game_id", "category")],
+        get("expected_source_titles", "array<string>").alias("expected_source_titles"),
+        alternatives(get("expected_answer_terms", "array<variant>")).alias("expected_answer_terms"),
+        get("allow_insufficient_context", "boolean").alias("allow_insufficient_context"),
+    )
+    return fields.select(
         _required("id"), _required("query"), _tenant(), "category",
-        _or_empty("expected_source_titles"),
-        alternatives(F.col("expected_answer_terms")).alias("expected_answer_terms"),
+        _or_empty("expected_source_titles"), "expected_answer_terms",
         F.coalesce("allow_insufficient_context", F.lit(False)).alias("allow_insufficient_context"),
     )
 
 
 def alternatives(terms: Column) -> Column:
-    """Terms read as text, where a nested list arrives as its JSON."""
+    """Lists of alternatives for an array of variants, each a string or an array of strings."""
     return F.transform(
-        F.coalesce(terms, F.array().cast("array<string>")),
+        F.coalesce(terms, F.array().cast("array<variant>")),
         lambda t: F.when(
-            F.startswith(t, F.lit("[")),
-            F.coalesce(F.from_json(t, "array<string>"), F.array(t)),
-        ).otherwise(F.array(t)),
+            F.startswith(F.schema_of_variant(t), F.lit("ARRAY")), F.variant_get(t, "$", "array<string>")
+        ).otherwise(F.array(F.variant_get(t, "$", "string"))),
     )
 
 

@@ -1,10 +1,12 @@
 import math
 from collections import Counter
 
+from hashlib import sha256
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from loreloom.functions.embedding import hash_embedding, hash_vector
+from loreloom.functions.embedding import hash_embedding
 from loreloom.functions.fuzzy import partial_ratio, ratio, weighted_ratio
 from loreloom.operators import entities, hybrid, lexical, rerank, rewrite, vector
 from loreloom.plans import bindings
@@ -120,10 +122,13 @@ def test_vector_search_equals_brute_force(spark, no_broadcast):
 
 
 def test_hash_embedding(spark):
-    vector_ = hash_vector("abc", 40)
-    assert len(vector_) == 40 and abs(np.linalg.norm(vector_) - 1) < 1e-12
-    row = spark.range(1).select(hash_embedding(40)(F.lit("abc"))).first()[0]
-    assert np.allclose(row, vector_)
+    texts = ["abc", "", "é 日本", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r[0]: r[1] for r in rows.select("i", hash_embedding(40)(F.col("t"))).collect()}
+    for i, text in enumerate(texts):
+        data = b"".join(sha256(f"{n}:{text or ''}".encode()).digest() for n in range(2))[:40]
+        values = np.frombuffer(data, np.uint8) / 127.5 - 1
+        assert len(got[i]) == 40 and np.allclose(got[i], values / np.linalg.norm(values), atol=1e-12)
 
 
 def test_merge_keeps_both_provenances(spark):
