@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loreloom.llm.common import SPACES, keyed, numbered
 from loreloom.session import materialise
 
-BLOCK_CHARS = 16_384
+BLOCK_CHARS = 2_048
 NOTHING = -1
 
 

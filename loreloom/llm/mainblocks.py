@@ -3,7 +3,9 @@
 A page is read once into a flat list of text blocks. Each is described by its number of words and the
 share of them in links, the same of the blocks before and after it, and by where it stands: in a
 region that names itself (navigation, footer, advert, form, comments, ...), in an article, or outside
-the article of a page that has one. A tree grown on the labelled table below decides which are text.
+the article of a page that has one, and in a paragraph or heading or elsewhere. A tree grown on the
+labelled table below decides which are text. Where a page names its regions these decide; in a page
+that does not, the words, the links and the neighbours do.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ SKIPPED_TAG = re.compile(
     re.S | re.I,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# One attribute: its name and, if it has one, its value. Nothing inside a value is a name.
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 INLINE = set(
@@ -56,77 +59,131 @@ ASIDE_NAMES = set(
     "promo promoted promotion recommended related respond reply replies search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
-# A joined name with one of these says what a page has beside the element (layout-with-sidebar).
-LAYOUT_NAMES = {"has", "no", "with", "without"}
+# Words that say no more than that an element is a part of a page. A joined name puts an element aside
+# if it names such a region and nothing else (post-comments), not if it says more (related-work).
+PART_NAMES = set(
+    "area bar block body bottom box btn button buttons card cell col column container content cta "
+    "element entry global group holder icon icons inner item items left link links list main menu "
+    "mobile outer page panel post posts primary right row secondary section site slot small strip "
+    "text title top unit wrap wrapper".split()
+)
 MAIN_TAGS = {"article", "main"}
 MAIN_NAMES = set("article articlebody entry story post".split())
 MAIN_ROLES = {"article", "main"}
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu".split())
 KEPT_IN_HEADER = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE_TAGS = {*KEPT_IN_HEADER, "p", "blockquote", "pre", "dd"}
 
 FEATURES = (
     "words", "links", "words_before", "links_before", "words_after", "links_after", "aside",
-    "in_main", "outside",
+    "in_main", "outside", "prose",
 )
 # Labelled blocks: the features in the order above, then 1 for main text. Fixed values.
 LABELLED = """
-8 0.00 0 0.00 45 0.00 0 1 0 1
-45 0.00 8 0.00 60 0.00 0 1 0 1
-60 0.05 45 0.00 2 0.00 0 1 0 1
-2 0.00 60 0.05 33 0.00 0 1 0 1
-1 0.00 33 0.00 12 1.00 0 1 0 1
-33 0.10 2 0.00 1 0.00 0 1 0 1
-120 0.02 6 0.00 80 0.00 0 1 0 1
-6 1.00 80 0.00 40 0.00 0 1 0 1
-5 0.00 0 0.00 0 0.00 0 1 0 1
-14 0.00 1 1.00 9 0.00 0 1 0 1
-3 0.60 20 0.00 70 0.00 0 1 0 1
-25 0.00 10 0.00 6 1.00 1 1 0 0
-12 0.00 40 0.00 30 0.00 1 1 0 0
-4 1.00 50 0.00 3 1.00 1 1 0 0
-60 0.00 30 0.00 55 0.00 1 1 0 0
-90 0.03 60 0.00 20 0.00 1 1 0 0
-1 1.00 0 0.00 1 1.00 1 0 1 0
-1 1.00 1 1.00 1 1.00 1 0 1 0
-9 0.00 1 1.00 8 0.00 1 0 1 0
-40 0.00 7 0.00 8 0.00 1 0 1 0
-70 0.00 30 0.00 12 0.00 1 0 1 0
-7 0.30 45 0.00 0 0.00 1 0 1 0
-12 0.00 60 0.00 0 0.00 1 0 1 0
-9 0.00 1 1.00 8 0.00 0 0 1 0
-40 0.00 7 0.00 8 0.00 0 0 1 0
-25 0.00 60 0.00 0 0.00 0 0 1 0
-3 1.00 0 0.00 3 1.00 0 0 1 0
-100 0.00 50 0.00 4 0.00 0 0 1 0
-2 0.00 3 0.00 2 0.00 0 0 1 0
-45 0.00 6 0.00 50 0.00 0 0 0 1
-50 0.04 45 0.00 30 0.10 0 0 0 1
-30 0.10 50 0.04 20 0.00 0 0 0 1
-20 0.00 30 0.10 3 1.00 0 0 0 1
-25 0.20 40 0.00 40 0.00 0 0 0 1
-18 0.00 60 0.00 2 0.00 0 0 0 1
-80 0.00 2 1.00 4 1.00 0 0 0 1
-150 0.30 12 0.00 90 0.00 0 0 0 1
-7 0.00 0 0.00 45 0.00 0 0 0 1
-4 0.00 50 0.00 60 0.00 0 0 0 1
-6 0.00 35 0.00 42 0.10 0 0 0 1
-3 0.00 70 0.00 28 0.00 0 0 0 1
-2 1.00 2 1.00 2 1.00 0 0 0 0
-1 1.00 0 0.00 3 1.00 0 0 0 0
-3 1.00 2 1.00 50 0.00 0 0 0 0
-4 1.00 60 0.00 3 1.00 0 0 0 0
-25 0.90 4 1.00 30 0.80 0 0 0 0
-40 0.70 20 0.90 10 1.00 0 0 0 0
-16 0.60 45 0.00 20 0.80 0 0 0 0
-3 0.00 3 0.00 2 0.00 0 0 0 0
-5 0.00 30 0.90 4 1.00 0 0 0 0
-4 0.00 2 1.00 3 1.00 0 0 0 0
-6 0.00 5 0.00 0 0.00 0 0 0 0
-2 0.00 0 0.00 1 1.00 0 0 0 0
-60 0.00 20 0.00 45 0.00 1 0 0 0
-14 0.00 0 0.00 6 1.00 1 0 0 0
-30 0.10 40 0.00 3 0.00 1 0 0 0
-3 1.00 4 1.00 3 1.00 1 0 0 0
+8 0.00 0 0.00 45 0.00 0 1 0 1 1
+45 0.00 8 0.00 60 0.00 0 1 0 1 1
+60 0.05 45 0.00 2 0.00 0 1 0 1 1
+2 0.00 60 0.05 33 0.00 0 1 0 1 1
+1 0.00 33 0.00 12 1.00 0 1 0 0 1
+33 0.10 2 0.00 1 0.00 0 1 0 1 1
+120 0.02 6 0.00 80 0.00 0 1 0 1 1
+6 1.00 80 0.00 40 0.00 0 1 0 1 1
+5 0.00 0 0.00 0 0.00 0 1 0 1 1
+14 0.00 1 1.00 9 0.00 0 1 0 0 1
+3 0.60 20 0.00 70 0.00 0 1 0 1 1
+1 0.00 0 0.00 3 0.00 0 1 0 1 1
+3 0.00 1 0.00 2 0.00 0 1 0 1 1
+2 0.00 3 0.00 0 0.00 0 1 0 1 1
+4 0.00 2 0.00 5 0.00 0 1 0 0 1
+2 0.50 4 0.00 3 0.30 0 1 0 0 1
+3 1.00 2 1.00 4 1.00 0 1 0 0 1
+6 0.00 3 0.00 7 0.00 0 1 0 1 1
+7 0.00 6 0.00 2 0.00 0 1 0 1 1
+5 1.00 7 0.00 4 1.00 0 1 0 1 1
+9 0.00 1 1.00 8 0.00 0 1 0 1 1
+12 0.00 2 1.00 1 1.00 0 1 0 0 1
+20 0.80 6 1.00 5 0.00 0 1 0 1 1
+4 0.00 30 0.00 0 0.00 0 1 0 1 1
+8 0.00 2 0.00 2 0.00 0 1 0 0 1
+25 0.00 10 0.00 6 1.00 1 1 0 0 0
+12 0.00 40 0.00 30 0.00 1 1 0 1 0
+4 1.00 50 0.00 3 1.00 1 1 0 1 0
+60 0.00 30 0.00 55 0.00 1 1 0 1 0
+90 0.03 60 0.00 20 0.00 1 1 0 1 0
+1 1.00 0 0.00 1 1.00 1 0 1 0 0
+1 1.00 1 1.00 1 1.00 1 0 1 0 0
+9 0.00 1 1.00 8 0.00 1 0 1 0 0
+40 0.00 7 0.00 8 0.00 1 0 1 0 0
+70 0.00 30 0.00 12 0.00 1 0 1 0 0
+7 0.30 45 0.00 0 0.00 1 0 1 0 0
+12 0.00 60 0.00 0 0.00 1 0 1 0 0
+9 0.00 1 1.00 8 0.00 0 0 1 1 0
+40 0.00 7 0.00 8 0.00 0 0 1 1 0
+25 0.00 60 0.00 0 0.00 0 0 1 1 0
+3 1.00 0 0.00 3 1.00 0 0 1 0 0
+100 0.00 50 0.00 4 0.00 0 0 1 1 0
+2 0.00 3 0.00 2 0.00 0 0 1 0 0
+45 0.00 6 0.00 50 0.00 0 0 0 1 1
+50 0.04 45 0.00 30 0.10 0 0 0 1 1
+30 0.10 50 0.04 20 0.00 0 0 0 0 1
+20 0.00 30 0.10 3 1.00 0 0 0 1 1
+25 0.20 40 0.00 40 0.00 0 0 0 1 1
+18 0.00 60 0.00 2 0.00 0 0 0 0 1
+80 0.00 2 1.00 4 1.00 0 0 0 1 1
+150 0.30 12 0.00 90 0.00 0 0 0 0 1
+7 0.00 0 0.00 45 0.00 0 0 0 1 1
+4 0.00 50 0.00 60 0.00 0 0 0 1 1
+6 0.00 35 0.00 42 0.10 0 0 0 1 1
+3 0.00 70 0.00 28 0.00 0 0 0 1 1
+2 1.00 2 1.00 2 1.00 0 0 0 0 0
+1 1.00 0 0.00 3 1.00 0 0 0 0 0
+3 1.00 2 1.00 50 0.00 0 0 0 0 0
+4 1.00 60 0.00 3 1.00 0 0 0 0 0
+25 0.90 4 1.00 30 0.80 0 0 0 1 0
+40 0.70 20 0.90 10 1.00 0 0 0 1 0
+16 0.60 45 0.00 20 0.80 0 0 0 0 0
+3 0.00 3 0.00 2 0.00 0 0 0 0 0
+5 0.00 30 0.90 4 1.00 0 0 0 0 0
+4 0.00 2 1.00 3 1.00 0 0 0 0 0
+6 0.00 5 0.00 0 0.00 0 0 0 0 0
+2 0.00 0 0.00 1 1.00 0 0 0 0 0
+60 0.00 20 0.00 45 0.00 1 0 0 0 0
+14 0.00 0 0.00 6 1.00 1 0 0 0 0
+30 0.10 40 0.00 3 0.00 1 0 0 0 0
+3 1.00 4 1.00 3 1.00 1 0 0 0 0
+9 0.00 2 0.00 0 0.00 0 0 0 1 1
+2 0.00 0 0.00 9 0.00 0 0 0 1 1
+5 0.00 4 0.00 3 0.00 0 0 0 1 1
+12 0.00 1 1.00 11 0.00 0 0 0 1 1
+4 1.00 3 1.00 5 1.00 0 0 0 1 0
+6 1.00 30 0.00 8 0.80 0 0 0 1 0
+2 0.00 9 0.00 1 0.00 0 0 0 0 0
+8 0.00 1 1.00 12 0.00 1 0 0 1 0
+30 0.00 9 0.00 4 0.00 0 0 0 1 1
+10 0.00 30 0.00 2 1.00 0 0 0 1 1
+3 0.00 0 0.00 3 0.00 0 0 0 1 1
+7 0.10 3 0.00 6 0.00 0 0 0 1 1
+1 0.00 4 0.00 1 0.00 0 0 0 1 1
+8 0.00 2 1.00 1 0.00 0 0 0 1 1
+3 1.00 1 0.00 8 0.00 0 0 0 0 0
+2 1.00 3 1.00 1 0.00 0 0 0 0 0
+2 1.00 40 0.00 30 0.00 0 0 0 0 0
+9 0.60 3 1.00 3 1.00 0 0 0 0 0
+2 0.00 3 1.00 1 0.00 0 0 0 0 0
+2 0.00 7 0.00 0 0.00 0 0 0 0 0
+5 0.00 2 1.00 4 0.00 0 0 0 0 0
+7 0.00 3 0.00 2 0.00 0 0 0 0 0
+4 0.00 60 0.00 0 0.00 0 0 0 0 0
+40 0.00 3 1.00 60 0.00 0 0 0 0 1
+22 0.00 4 0.00 2 0.00 0 0 0 0 1
+35 0.00 22 0.00 3 1.00 0 0 0 0 1
+70 0.10 1 0.00 1 0.00 0 0 0 0 1
+5 1.00 9 0.00 10 0.00 0 0 0 1 0
+12 0.90 3 0.00 3 1.00 0 0 0 1 0
+8 0.00 4 0.00 5 0.00 0 0 1 1 0
+35 0.00 20 0.00 12 0.00 0 0 1 0 0
+3 0.00 40 0.00 8 0.00 0 0 1 1 0
+60 0.00 3 1.00 25 0.00 0 0 1 1 0
 """
 
 
@@ -196,12 +253,15 @@ def _region(name: str, attrs: str) -> tuple[bool, bool, bool]:
     if attrs:
         for key, *values in ATTRIBUTE.findall(attrs):
             key, value = key.lower(), "".join(values)
-            if key in ("class", "id"):
-                # Whole names in full; of joined names (post-comments) the first and the last part.
+            if key == "hidden":
+                aside = True
+            elif key in ("class", "id"):
                 for word in value.split():
-                    parts = [p.lower() for p in NAME_PARTS.findall(word)]
-                    ends = {word.lower(), *parts[:1], *parts[-1:]}
-                    named |= bool(ends & ASIDE_NAMES) and not LAYOUT_NAMES & set(parts[:-1])
+                    parts = {p.lower() for p in NAME_PARTS.findall(word) if not p.isdigit()}
+                    region = word.lower() in ASIDE_NAMES or (
+                        bool(parts & ASIDE_NAMES) and parts <= ASIDE_NAMES | PART_NAMES
+                    )
+                    named |= region and name not in KEPT_IN_HEADER
                     main |= word.lower().replace("-", "") in MAIN_NAMES
             elif key == "role":
                 aside |= value.lower() in ASIDE_ROLES
@@ -210,20 +270,18 @@ def _region(name: str, attrs: str) -> tuple[bool, bool, bool]:
                 main |= value.lower() == "articlebody"
             elif (key == "aria-hidden" and value == "true") or (key == "style" and HIDDEN.search(value)):
                 aside = True
-    if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs or ""):
-        aside = True
     if main and name in MAIN_TAGS:
         return False, True, False
     return aside or named, main, named and not aside
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, aside, in an article) of each text block of a page.
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
+    """(text, words, words in links, aside, in an article, prose) of each text block of a page.
 
     A class or id around an article or main element does not put it aside, unless another article of
     the page stands in fewer elements with such names (the teasers of a sidebar).
     """
-    out: list[tuple[str, int, int, bool, bool]] = []
+    out: list[tuple[str, int, int, bool, bool, bool]] = []
     around: list[int | None] = []  # per block: aside names around its outermost article, none outside
     stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, aside, main, named
     article: tuple[int, int, int] | None = None  # outermost: place in stack, names around it, as counted
@@ -233,6 +291,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     in_link = False
     aside = main = 0
     heading = False
+    kind = ""  # the element that the text stands in
 
     def close() -> None:
         if parts:
@@ -244,7 +303,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 )
                 words = len(text.split())
                 links = len("".join(linked).split())
-                out.append((text, words, min(links, words), beside > 0 and not only_header, main > 0))
+                beside_text = beside > 0 and not only_header
+                out.append((text, words, min(links, words), beside_text, main > 0, kind in PROSE_TAGS))
                 around.append(article[2] if article else None)
             parts.clear()
             linked.clear()
@@ -313,8 +373,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
                 shut(depth)
+            kind = stack[-1][0] if stack else ""
             continue
         heading = name in KEPT_IN_HEADER
+        kind = name
         if name in VOID or name in ("p", "li", "dt", "dd", "tr", "td", "th", "html", "head", "body"):
             region = _region(name, found["attrs"] or found["attrs2"] or "")
             if not region[0] or name in VOID or name in ("html", "head", "body"):
@@ -337,11 +399,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     close()
     least = min((n for n, b in zip(around, out, strict=True) if n is not None and not b[3]), default=0)
     return [
-        (*b[:3], b[3] or (n is not None and n > least), b[4]) for n, b in zip(around, out, strict=True)
+        (*b[:3], b[3] or (n is not None and n > least), *b[4:]) for n, b in zip(around, out, strict=True)
     ]
 
 
-def described(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+def described(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
     """The features of a page's blocks."""
     rows = np.zeros((len(found), len(FEATURES)))
     if not found:
@@ -355,13 +417,14 @@ def described(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
     rows[:, 7] = [b[4] for b in found]
     has_main = any(b[4] for b in found)
     rows[:, 8] = [has_main and not b[4] for b in found]
+    rows[:, 9] = [b[5] for b in found]
     return rows
 
 
 def main_texts(pages: list[str | None]) -> list[str]:
     """The blocks of main text of each page, in order, one per line."""
     lists = [blocks(page or "") for page in pages]
-    rows = np.concatenate([described(found) for found in lists]) if lists else np.zeros((0, 9))
+    rows = np.concatenate([described(found) for found in lists]) if lists else np.zeros((0, len(FEATURES)))
     keep = decide(block_tree(), rows)
     out, at = [], 0
     for found in lists:

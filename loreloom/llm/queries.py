@@ -153,7 +153,7 @@ ORACLES: dict[str, str] = {
             doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
         FROM clean WINDOW same AS (PARTITION BY body)
     """,
-    # Fingerprints are left out: within the radius lies all that is similar enough.
+    # Every window that shares a shingle with the item is tried, wherever it begins.
     "op6_decontamination": r"""
         WITH bare AS (
             SELECT doc_id, text, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')),
@@ -173,11 +173,14 @@ ORACLES: dict[str, str] = {
         ), text_runs AS (
             SELECT doc_id, k, words, unnest(range(greatest(len(words) - k + 1, 0))) AS q
             FROM bare, widths
+        ), met AS (
+            SELECT DISTINCT doc_id, item_id, n, words, q
+            FROM text_runs t JOIN (SELECT DISTINCT item_id, n, k, s FROM item_seeds) i
+                ON t.k = i.k AND array_to_string(words[q + 1 : q + t.k], ' ') = i.s
         ), hits AS (
             SELECT DISTINCT doc_id, item_id, n, words,
-                greatest(0, least(q - p, len(words) - n)) AS start
-            FROM text_runs t JOIN item_seeds i
-                ON t.k = i.k AND array_to_string(words[q + 1 : q + t.k], ' ') = i.s
+                greatest(0, least(unnest(range(q - greatest(n - 4, 1) + 1, q + 1)), len(words) - n)) AS start
+            FROM met
         ), windows AS (
             SELECT row_number() OVER () AS win, doc_id, item_id, start, words[start + 1 : start + n] AS w
             FROM hits

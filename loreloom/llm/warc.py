@@ -74,13 +74,12 @@ def compressed(records: list[bytes]) -> tuple[bytes, list[int]]:
     """An archive of the records, and where the frame of each begins."""
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
     samples = [r[: SAMPLE_BYTES // 8] for r in records[::step]]
-    dictionary = None
-    if len(samples) >= 16:
-        try:
-            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8)
-        except zstandard.ZstdError:
-            dictionary = None  # too little or too uniform to learn from
-    raw = dictionary.as_bytes() if dictionary else b""
+    try:
+        dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8)
+    except zstandard.ZstdError:  # too few or too uniform to learn from: the records themselves serve
+        content = b"".join(samples)[:DICTIONARY_BYTES]
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = dictionary.as_bytes()
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=True)
     out, offsets = [struct.pack("<II", DICTIONARY_FRAME, len(raw)), raw], []
     at = 8 + len(raw)

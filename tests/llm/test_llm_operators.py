@@ -309,7 +309,7 @@ def test_contaminated_texts(spark):
     ]
     items = spark.createDataFrame([(0, " ".join(item)), (1, None), (2, ""), (3, "Two words")], "item_id int, text string")
     got = sorted((str(r["doc_id"]), r["item_id"], round(r["similarity"], 3), r["start"]) for r in decontaminate.contaminated(table(spark, rows), items).collect())
-    assert got == [("1", 0, 1.0, 30), ("2", 0, round(35 / 37, 3), 9), ("6", 0, 1.0, 0), ("7", 3, 1.0, 0), ("8", 3, 1.0, 0), ("None", 0, 1.0, 0)]
+    assert got == [("1", 0, 1.0, 30), ("2", 0, round(35 / 37, 3), 8), ("6", 0, 1.0, 0), ("7", 3, 1.0, 0), ("8", 3, 1.0, 0), ("None", 0, 1.0, 0)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("item_id", F.lit(1))
     left = decontaminate.drop_contaminated(docs, items)
     assert sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5] and left.columns == docs.columns
@@ -323,8 +323,9 @@ def test_items_whose_tail_repeats_one_word_are_found(spark):
     rows = [(i, " ".join(["lead", *item[:140], *["again"] * 17])) for i, item in enumerate(items)]
     benchmark = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id int, text string")
     got = decontaminate.contaminated(table(spark, rows), benchmark).collect()
+    # The window that begins with the word before the item holds as much of it, and is the first.
     assert sorted((r["doc_id"], r["item_id"], r["similarity"], r["start"], r["n_words"]) for r in got) == [
-        (i, i, 0.8, 1, 157) for i in range(8)
+        (i, i, 0.8, 0, 157) for i in range(8)
     ]
 
 
@@ -432,7 +433,7 @@ def test_archives_have_a_dictionary():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, data, name):
     connection = duckdb.connect()
-    for view in ("documents", "benchmark"):
+    for view in ("documents", "benchmark", "embeddings", "labels"):
         connection.execute(f"CREATE VIEW {view} AS SELECT * FROM '{data}/{view}.parquet'")
     result = connection.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
