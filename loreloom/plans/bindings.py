@@ -204,28 +204,37 @@ GOLDEN_WORDS = 6
 
 
 def golden_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(ord, item_id, item): documents (ord, w) that have the inner words of an item in a row."""
+    """(ord, item_id, item): documents (ord, w) that have the inner words of an item in a row.
+
+    They meet on the first one or two of these words; only documents that do are looked at again.
+    """
     size = F.size("iw")
+    first = F.when(size > 2, 2).otherwise(1)
     inside = F.when(size > 2, F.least(size - 2, F.lit(GOLDEN_WORDS))).otherwise(size)
-    keyed = (
+    keyed = materialise(
         items.withColumn("iw", tx.words(F.col("item"))).filter(size > 0)
-        .withColumn("k", inside)
-        .withColumn("key", F.xxhash64(F.slice("iw", F.when(size > 2, 2).otherwise(1), F.col("k"))))
-        .select("item_id", "item", "k", "key")
+        .withColumn("k", inside).withColumn("n", F.least("k", F.lit(2)))
+        .select(
+            "item_id", "item", "k", "n", F.xxhash64(F.slice("iw", first, F.col("k"))).alias("key"),
+            F.xxhash64(F.slice("iw", first, F.col("n"))).alias("lead"),
+        )
     )
-    lengths = sorted(r[0] for r in keyed.select("k").distinct().collect())  # GOLDEN_WORDS at most
-    if not lengths:
-        return docs.select("ord").join(keyed.select("item_id", "item"), F.lit(False))
 
-    def windows_of(n: int):
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1))),
-            lambda i: F.struct(F.lit(n).alias("k"), F.xxhash64(F.slice("w", i, n)).alias("key")),
-        )
+    def runs_of(words, n):
+        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
+        return F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n)))
 
-    windows = F.concat(*[windows_of(n) for n in lengths])
-    runs = tx.explode_once(docs, windows, "run").select("ord", "run.k", "run.key")
-    return join_small(runs, keyed, ["k", "key"]).select("ord", "item_id", "item").distinct()
+    leads = [
+        tx.explode_once(docs, F.array_distinct(runs_of(F.col("w"), F.lit(n))), "lead")
+        .select("ord", F.lit(n).alias("n"), "lead")
+        for n in (1, 2) if not keyed.filter(F.col("n") == n).isEmpty()
+    ]
+    if not leads:
+        return docs.select("ord").join(keyed.select("item_id", "item"), F.lit(False))
+    met = leads[0] if len(leads) == 1 else leads[0].unionByName(leads[1])
+    found = materialise(join_small(met, keyed, ["n", "lead"]).drop("n", "lead"))
+    whole = F.array_contains(runs_of(F.col("w"), F.col("k")), F.col("key"))
+    return join_small(docs, found, ["ord"]).filter(whole).select("ord", "item_id", "item").distinct()
 
 
 def golden_cases(spark: SparkSession, folder: str) -> DataFrame:
