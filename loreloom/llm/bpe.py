@@ -27,6 +27,40 @@ NO_RANK = np.iinfo(np.int64).max
 # Python's split() parts at these, the vocabulary's pattern does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
+# Letters and digits that are newer than the tables of the tokenizer library, which takes them for other
+# signs: ranges of code points. Fixed values.
+NEWER_LETTERS = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF
+10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686
+16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191
+191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE
+1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD
+323B0-33479 3D000-3FC3F
+"""
+# Capitals that the library knows and Python does not yet: first, last, first small letter. Fixed values.
+NEWER_CAPITALS = """
+1C89-1C89-1C8A A7CB-A7CB-264 A7CC-A7CC-A7CD A7CE-A7CE-A7CF A7D2-A7D2-A7D3 A7D4-A7D4-A7D5
+A7DA-A7DA-A7DB A7DC-A7DC-19B 10D50-10D65-10D70 16EA0-16EB8-16EBB
+"""
+OTHER_SIGN = "\u2e2e"  # neither letter nor digit
+
+
+def code_class(ranges: str) -> str:
+    """A class of characters from ranges of code points in hexadecimal."""
+    ends = [(r.split("-")[0], r.split("-")[-1]) for r in ranges.split()]
+    return "[" + "".join(f"\\U{int(a, 16):08X}-\\U{int(b, 16):08X}" for a, b in ends) + "]"
+
+
+def small_letters() -> dict[int, int]:
+    """Code points of the newer capitals and of their small letters."""
+    rows = [[int(x, 16) for x in r.split("-")] for r in NEWER_CAPITALS.split()]
+    return {c: small + c - first for first, last, small in rows for c in range(first, last + 1)}
+
+
+NEWER = regex.compile(code_class(NEWER_LETTERS))
+SMALL = small_letters()
+CAPITAL = regex.compile("[" + "".join(map(chr, SMALL)) + "]")
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
@@ -140,13 +174,20 @@ class Encoder:
         out[at[good]] = True
         return out
 
+    def _cut(self, chunk: str) -> list[str]:
+        """The words of a chunk, by the letters that the library knows."""
+        if NEWER.search(chunk):
+            masked = NEWER.sub(OTHER_SIGN, chunk)
+            return [chunk[m.start() : m.end()] for m in self.pieces.finditer(masked)]
+        return self.pieces.findall(chunk)
+
     def _learn(self, chunks: set[str]) -> None:
         """Encode chunks of text without white space and remember them."""
         chunks = list(chunks)
         words: list[bytes] = []
         counts = np.zeros(len(chunks), dtype=np.int64)
         for i, chunk in enumerate(chunks):
-            found = self.pieces.findall(chunk)
+            found = self._cut(chunk)
             counts[i] = len(found)
             words.extend(w.encode() for w in found)
         ids, per_word = self.merge_words(words) if words else (np.zeros(0, np.int32), counts[:0])
@@ -165,6 +206,8 @@ class Encoder:
         norm = unicodedata.normalize("NFC", text)
         # Letter by letter, as the vocabulary's normaliser does: a final sigma stays a plain one.
         norm = norm.replace("Σ", "σ").lower()
+        if CAPITAL.search(norm):
+            norm = norm.translate(SMALL)
         if SEPARATORS.search(norm):
             return regex.findall(r"\S+", norm)
         return norm.split()

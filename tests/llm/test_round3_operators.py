@@ -12,10 +12,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loreloom.llm import decontaminate, filteraudit, hardnegatives, mainblocks, simhash
+from loreloom.llm import bpe, decontaminate, filteraudit, hardnegatives, mainblocks, simhash
 from loreloom.llm.common import keyed
 from loreloom.llm.components import components
-from loreloom.llm.queries import QUERIES
+from loreloom.llm.queries import QUERIES, vocabulary_path
 
 
 def words_of(text):
@@ -336,3 +336,20 @@ def test_words_and_links_decide_where_regions_have_no_names():
     assert mainblocks.decide(mainblocks.block_tree(), rows).tolist() == [False, True, False, False]
     rows[:, :6] = 0
     assert mainblocks.decide(mainblocks.block_tree(), rows).tolist() != [False, True, False, False]
+
+
+# ---- tokens ----
+
+
+def test_letters_newer_than_the_library(spark):
+    """Random runs of old and new letters, digits and capitals are cut as the library cuts them."""
+    from tokenizers import Tokenizer
+
+    chance = random.Random(31)
+    library = Tokenizer.from_file(vocabulary_path())
+    rare = "\U00010EE3\uA7DD\U00010D55\uA7CB\U00016EA5\U000323B0\U00011DE3\u1C89\uA7DA\u0558\U0001E6C1"
+    texts = ["".join(chance.choice(rare + "abZ19 .,'é") for _ in range(chance.randint(1, 30))) for _ in range(400)]
+    made = bpe.encode_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), vocabulary_path())
+    for r in made.collect():
+        want = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert list(r["ids"]) == want, texts[r["doc_id"]]
