@@ -672,3 +672,23 @@ def spell_comparisons(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ord").cast("string").alias("query_id"), F.lit("bg3").alias("game_id"),
         F.concat(F.lit("compare "), "title", F.lit(" and "), "other").alias("query"),
     )
+
+
+def retrieval_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """User turns as retrieval cases; some say no tenant, no terms or no sources."""
+    words, turn = tx.words(F.col("text")), F.col("turn")
+    return table(spark, folder, "conversations").filter(F.col("role") == "user").select(
+        _request_id().alias("id"), F.array_join(words, " ").alias("query"),
+        F.when(turn % 2 == 0, pick(["blue_prince", ""], F.col("conv_id") % 2)).alias("game_id"),
+        pick(["items", None], turn % 2).alias("category"), words.alias("expected_titles"),
+        F.when(turn % 3 != 0, words).alias("expected_terms"),
+        F.when(turn % 4 == 0, F.array(_request_id())).alias("expected_source_ids"),
+    )
+
+
+def tool_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The expected tools as golden rows; a case may expect none."""
+    return expected_tools(spark, folder).select(
+        F.col("request_id").alias("id"), F.concat(F.lit("ask "), "request_id").alias("query"),
+        "expected_tool", "category",
+    )

@@ -215,6 +215,37 @@ def entity_files(spark, folder):
     )
 
 
+@query
+def corpus_union(spark, folder):
+    """The chunk table read from two folders, named in one setting beside one that does not exist."""
+    chunks = materialise(_chunks(spark, folder))
+    paths = [scratch_path(spark, name) for name in ("first", "second", "absent")]
+    files.write_chunks(chunks.filter("game_id = 'en'"), paths[0])
+    files.write_chunks(chunks.filter("game_id <> 'en'"), paths[1])
+    return files.read_corpus(spark, paths[0], ";".join(paths[1:])).select(
+        "chunk_id", "game_id", "source_id", "section", "spoiler_level",
+        F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"),
+    )
+
+
+@query
+def golden_retrieval(spark, folder):
+    """Retrieval cases written as golden lines and read back."""
+    path = scratch_path(spark, "golden")
+    b.retrieval_lines(spark, folder).write.json(path)
+    return files.read_retrieval_golden(spark, path).select(
+        "id", "query", "game_id", "category", joined("expected_titles").alias("titles"),
+        F.size("expected_terms").alias("n_terms"), joined("expected_source_ids").alias("sources"),
+    )
+
+
+@query
+def golden_tools(spark, folder):
+    path = scratch_path(spark, "golden")
+    b.tool_lines(spark, folder).write.json(path)
+    return files.read_tool_golden(spark, path)
+
+
 @query
 def golden_answers(spark, folder):
     """Answer cases written as golden lines and read back; terms keep their kind."""

@@ -1182,3 +1182,14 @@ FROM (SELECT request_id, unnest(['spell_a', 'spell_b']) AS argument, unnest([nam
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY normalized_name
   ORDER BY {fold('canonical_name')}, canonical_name) AS r FROM v_game_entities WHERE game_id = 'bg3')
   ON r = 1 AND normalized_name = {entity_name('name')}""")
+ORACLES["corpus_union"] = ORACLES["chunk_table"]
+oracle("golden_retrieval", f"""
+SELECT conv_id || ':' || turn AS id, {joined(words('text'), ' ')} AS query,
+  CASE WHEN turn % 2 = 0 AND conv_id % 2 = 0 THEN 'blue_prince' ELSE {lit(fixed.DEFAULT_TENANT)} END AS game_id,
+  CASE WHEN turn % 2 = 0 THEN 'items' END AS category, {joined(words('text'))} AS titles,
+  CASE WHEN turn % 3 <> 0 THEN len({words('text')}) ELSE 0 END::INTEGER AS n_terms,
+  CASE WHEN turn % 4 = 0 THEN conv_id || ':' || turn ELSE '' END AS sources
+FROM conversations WHERE role = 'user'""")
+oracle("golden_tools", f"""
+SELECT request_id AS id, 'ask ' || request_id AS query, {lit(fixed.DEFAULT_TENANT)} AS game_id,
+  expected AS expected_tool, category FROM v_expected_tools""")
