@@ -64,6 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `documents` that stay, with their columns, token_ids, n_tokens and decoded_sha256.
+
+    A null text counts as empty: it is not toxic, one of all empty texts stays as their exact copy, it
+    has no near duplicate and no benchmark item, and its ids are an empty list. Of repeated rows one
+    stays. Rows without an id are kept like others. Columns that `documents` has beside its own come
+    along; those that are called like the new ones are replaced. An empty table gives an empty table.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))

@@ -353,3 +353,35 @@ def test_letters_newer_than_the_library(spark):
     for r in made.collect():
         want = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert list(r["ids"]) == want, texts[r["doc_id"]]
+
+
+# ---- pipeline ----
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, very long texts, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    chance = random.Random(41)
+    words = lambda n: " ".join(f"w{chance.randrange(10**6)}" for _ in range(n))
+    item, long = words(40), words(30_000)
+    shape = "doc_id long, text string, lang string, source string, n_chars long, token_ids string, score double"
+    rows = [
+        (1, None), (2, ""), (None, "  "), (3, words(30)), (4, long), (5, long + " tail"), (6, f"so {item} it is"),
+        (None, words(12)), (7, "short"), (7, "short"), (8, "short "),
+    ]
+    docs = [(i, t, "en", "s", 0, "mine", 0.5) for i, t in rows]
+    labels = [(100 + i, 1, 0) for i in range(60)]  # one class only
+    train = [(100 + i, f"{'kind warm calm' if i % 4 else 'vile slur hate'} {words(8)}", "en", "s", 0, "x", 0.1) for i in range(60)]
+    for name, made in (("documents", spark.createDataFrame(docs + train, shape)),
+                       ("labels", spark.createDataFrame(labels, "doc_id long, quality int, toxic int")),
+                       ("benchmark", spark.createDataFrame([(1, item), (2, None)], "item_id int, text string"))):
+        made.write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
+    frame = corpus_pipeline.run(spark, str(tmp_path / "in"))
+    assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars", "token_ids", "score", "n_tokens", "decoded_sha256"]
+    out = [r for r in frame.collect() if r["doc_id"] is None or r["doc_id"] < 100]
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(["1", "None", "3", "4", "None", "7"])
+    assert {r["doc_id"]: r["n_tokens"] for r in out}[1] == 0
+    docs = spark.createDataFrame([], shape)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path / "in")).count() == 0, name
