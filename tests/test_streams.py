@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreloom.functions.embedding import hash_embedding
-from loreloom.operators import lexical, requests
+from loreloom.operators import crawl, lexical, requests
 from loreloom.streaming import jobs, slicelog, state
 
 from test_search import chunk
@@ -221,3 +221,30 @@ def test_cache_expires_and_is_purged(spark, tmp_path):
     for r in got:
         status[r["cache_status"]].add(r["answer"] is None)
     assert status == {"hit": {False}, "miss": {True}}
+
+
+@pytest.mark.parametrize("how", [{}, {"force_refresh": True}, {"ttl_hours": 1}, {"stale_fallback": True}])
+def test_crawl_stream_takes_the_options_of_a_crawl(spark, tmp_path, how):
+    """Batches of fetch results one after another are the batch plan and merge, applied in turn."""
+    old, now = dt.datetime(2024, 1, 31, 12), dt.datetime(2024, 2, 1)
+    manifest = spark.createDataFrame([(d, "g", "s", f"u/{d}", d) for d in "abcd"],
+                                     "doc_id string, game_id string, source_id string, source_url string, title string")
+    known = spark.createDataFrame(
+        [(d, "g", "s", f"u/{d}", f"old/{d}", "sha256:x", old, old, 200, "e", None) for d in "abc"],
+        "doc_id string, game_id string, source_id string, source_url string, raw_path string, content_hash string, "
+        "fetched_at timestamp, checked_at timestamp, status_code int, etag string, last_modified string",
+    )
+    shape = "doc_id string, http_status int, text string, etag string, last_modified string"
+    fetched = [
+        spark.createDataFrame([("a", 200, "new", "n", None), ("b", 500, None, None, None)], shape),
+        spark.createDataFrame([("c", 304, None, None, None), ("d", 200, "first", "m", None), ("a", 200, "newer", "o", None)], shape),
+    ]
+    deliver(tmp_path / "in", *fetched)
+    stream = stream_of(spark, tmp_path / "in", fetched[0].schema)
+    got = jobs.crawl_states(stream, manifest, known, F.lit(now), "raw", **how)
+    want = known
+    for landed in fetched:
+        plan = crawl.crawl_plan(manifest.join(landed.select("doc_id"), "doc_id", "left_semi"), want, landed, F.lit(now), **how)
+        path = crawl.raw_path("raw", F.col("game_id"), F.col("source_id"), F.col("doc_id"))
+        want = crawl.crawl_merge(want, plan.withColumn("raw_path", path), F.lit(now))
+    assert sorted(got.select(*known.columns).collect()) == sorted(want.select(*known.columns).collect())
