@@ -75,6 +75,8 @@ def compressed(records: list[bytes]) -> tuple[bytes, list[int]]:
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
     samples = [r[: SAMPLE_BYTES // 8] for r in records[::step]]
     try:
+        if len(samples) < 16:
+            raise zstandard.ZstdError("too few samples to train on")
         dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8)
     except zstandard.ZstdError:  # too few or too uniform to learn from: the records themselves serve
         content = b"".join(samples)[:DICTIONARY_BYTES]
