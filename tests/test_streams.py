@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loreloom.functions.embedding import hash_embedding
 from loreloom.operators import crawl, lexical, requests
+from loreloom.plans.catalog import QUERIES
 from loreloom.streaming import jobs, slicelog, state
 
 from test_search import chunk
@@ -248,3 +249,19 @@ def test_crawl_stream_takes_the_options_of_a_crawl(spark, tmp_path, how):
         path = crawl.raw_path("raw", F.col("game_id"), F.col("source_id"), F.col("doc_id"))
         want = crawl.crawl_merge(want, plan.withColumn("raw_path", path), F.lit(now))
     assert sorted(got.select(*known.columns).collect()) == sorted(want.select(*known.columns).collect())
+
+
+def test_streams_of_a_table_in_several_files(spark, data, tmp_path):
+    """A table may be a folder of files: the streams read all of them, as the batch queries do."""
+    for name in ("documents", "labels", "conversations", "events"):
+        spark.read.parquet(f"{data}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_sessions", "stream_crawl", "stream_index", "stream_windows"):
+        got, want = (sorted(map(str, QUERIES[name](spark, f).collect())) for f in (str(tmp_path), data))
+        assert got == want and want, name
+
+
+def test_a_stream_without_files_leaves_the_state_as_it_is(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), "*.parquet", spark.createDataFrame([], "id bigint").schema)
+    got = jobs.versioned(stream, lambda old, batch: batch if old is None else old.unionByName(batch), "none")
+    assert got.count() == 0
