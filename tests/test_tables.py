@@ -306,3 +306,13 @@ def test_short_golden_items_meet_longer_texts(spark):
     )
     got = sorted((r["ord"], r["item_id"]) for r in golden_pairs(docs, items).collect())
     assert got == [(1, 1), (1, 2), (1, 3)]
+
+
+def test_a_side_beyond_the_bound_is_not_broadcast_by_its_file_size(spark, no_broadcast):
+    """Repeated texts make small files of large rows; Spark would broadcast them by the size of the files."""
+    from loreloom import session
+
+    rows = session.materialise(spark.range(200).selectExpr("id AS k", "repeat('the same text ', 100) AS t"))
+    joined = session.join_small(spark.range(300).withColumnRenamed("id", "k"), rows, ["k"])
+    assert joined.count() == 200
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
