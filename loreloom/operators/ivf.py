@@ -131,7 +131,9 @@ def ivf_search(
     index: DataFrame, queries: DataFrame, centres: Centres | None, k: int = 5, key: str = "chunk_id"
 ) -> DataFrame:
     """query_id, key, ord, score, rank from the cells that each query asks (`index` from `assign`)."""
-    return vector_search(index, _celled(queries, centres, centres.probes if centres else 0), k, key)
+    asked = _celled(queries, centres, centres.probes if centres else 0)
+    # Questions of a cell together, as in the index: else a block is a few questions, and there are as many blocks.
+    return vector_search(index, asked.hint("rebalance", "game_id").sortWithinPartitions("game_id"), k, key)
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -16,13 +16,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.operators.topk import top_k
-from loreloom.session import join_small, materialise
+from loreloom.session import fits_broadcast, join_small, materialise
 
 BLOCK_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20  # of a tenant's vectors that its query blocks are sent to at once
+MOST_SLICES = 16
+
+
+def _kind(vectors: DataFrame) -> type:
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    return np.float32 if single else np.float64
+
+
+def _unit(matrix: bytes, rows: int, kind: type) -> np.ndarray:
+    """The unit vectors of a block, as doubles."""
+    vectors = np.frombuffer(matrix, dtype=kind).astype(np.float64).reshape(rows, -1)
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norms == 0, 1.0, norms)
 
 
 def pack_blocks(vectors: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Rows (key, ord, game_id, embedding) to blocks of unit vectors per tenant."""
+    """Rows (key, ord, game_id, embedding) to blocks of vectors per tenant, as wide as they come."""
+    kind = _kind(vectors)
     key_type = vectors.schema[key].dataType.simpleString()
     schema = (
         f"game_id string, {prefix}ids array<{key_type}>, {prefix}ords array<bigint>, "
@@ -35,12 +50,10 @@ def pack_blocks(vectors: DataFrame, key: str, prefix: str) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            matrix = flat.astype(np.float64).reshape(batch.num_rows, -1)
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            matrix = matrix / np.where(norms == 0, 1.0, norms)
+            matrix = flat.astype(kind).reshape(batch.num_rows, -1)
             games = np.array(batch.column("game_id").to_pylist(), dtype=object)
             ids, ords = batch.column("key"), batch.column("ord")
-            step = max(1, BLOCK_BYTES // (8 * matrix.shape[1]))
+            step = max(1, BLOCK_BYTES // (8 * matrix.shape[1]))  # of the doubles they become
             out: dict[str, list] = {"g": [], "i": [], "o": [], "m": []}
             for game in sorted(set(games)):
                 rows = np.flatnonzero(games == game)
@@ -76,6 +89,28 @@ def best_rows(scores: np.ndarray, ords: np.ndarray, k: int) -> np.ndarray:
     return kept[np.lexsort((ords[kept], -scores[kept]))][:k]
 
 
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of blocks of the same tenant.
+
+    Where neither side can be broadcast, a tenant's vectors are spread over slices of
+    SLICE_BYTES and its query blocks repeated per slice: those of a small tenant travel once.
+    """
+    if fits_broadcast(right):
+        return left.join(F.broadcast(right), "game_id")
+    if fits_broadcast(left):
+        return F.broadcast(left).join(right, "game_id")
+    slices = F.ceil(F.sum(F.octet_length("v_matrix")) / SLICE_BYTES).cast("int")
+    sizes = materialise(
+        left.groupBy("game_id").agg(F.greatest(F.lit(1), F.least(F.lit(MOST_SLICES), slices)).alias("__slices"))
+    )
+    own = F.pmod(F.xxhash64("v_ids"), F.col("__slices")).cast("int")
+    dealt = join_small(left, sizes, ["game_id"]).withColumn("__slice", own).drop("__slices")
+    repeated = join_small(right, sizes, ["game_id"]).withColumn(
+        "__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
+    ).drop("__slices")
+    return dealt.join(repeated.hint("merge"), ["game_id", "__slice"]).drop("__slice")
+
+
 def vector_search(
     vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "chunk_id"
 ) -> DataFrame:
@@ -85,18 +120,19 @@ def vector_search(
     """
     query_type = queries.schema["query_id"].dataType.simpleString()
     key_type = vectors.schema[key].dataType.simpleString()
+    v_kind, q_kind = _kind(vectors), _kind(queries)
     left = materialise(pack_blocks(vectors, key, "v_"))
     right = materialise(pack_blocks(queries.withColumn("ord", F.lit(0)), "query_id", "q_"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            query_ids, keys, ords, scores = [], [], [], []
             for row in range(batch.num_rows):
+                query_ids, keys, ords, scores = [], [], [], []
                 cell = {n: batch.column(n)[row] for n in batch.schema.names if n != "game_id"}
                 q_ids, v_ids = cell["q_ids"].as_py(), cell["v_ids"].as_py()
                 v_ords = np.array(cell["v_ords"].as_py(), dtype=np.int64)
-                q = np.frombuffer(cell["q_matrix"].as_buffer()).reshape(len(q_ids), -1)
-                v = np.frombuffer(cell["v_matrix"].as_buffer()).reshape(len(v_ids), -1)
+                q = _unit(cell["q_matrix"].as_buffer(), len(q_ids), q_kind)
+                v = _unit(cell["v_matrix"].as_buffer(), len(v_ids), v_kind)
                 block = np.round(q @ v.T, 6)
                 for i, query_id in enumerate(q_ids):
                     best = best_rows(block[i], v_ords, k)
@@ -104,18 +140,18 @@ def vector_search(
                     keys.extend(v_ids[j] for j in best)
                     ords.extend(v_ords[best].tolist())
                     scores.extend(block[i][best].tolist())
-            if query_ids:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(query_ids, batch.schema.field("q_ids").type.value_type),
-                        pa.array(keys, batch.schema.field("v_ids").type.value_type),
-                        pa.array(ords, pa.int64()),
-                        pa.array(scores, pa.float64()),
-                    ],
-                    names=["query_id", key, "ord", "score"],
-                )
-
-    pairs = join_small(left, right, ["game_id"])
+                if query_ids:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(query_ids, batch.schema.field("q_ids").type.value_type),
+                            pa.array(keys, batch.schema.field("v_ids").type.value_type),
+                            pa.array(ords, pa.int64()),
+                            pa.array(scores, pa.float64()),
+                        ],
+                        names=["query_id", key, "ord", "score"],
+                    )
+
+    pairs = _met(left, right)
     found = pairs.mapInArrow(
         score, f"query_id {query_type}, {key} {key_type}, ord bigint, score double"
     )

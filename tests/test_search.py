@@ -372,3 +372,23 @@ def test_rewriting(spark):
     assert "молнією->Lightning Bolt" in got[0][1]
     assert got[1][1] == []
     assert got[3][1] == ["fireballll->Fireball:fuzzy"]
+
+
+def test_vector_blocks_keep_their_width_and_meet_by_slices(spark, monkeypatch, no_broadcast):
+    """Single-precision vectors travel as such; blocks dealt to slices find what broadcast ones find."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from loreloom.operators import vector
+
+    chance = random.Random(5)
+    rows = [(i, i, "ab"[i % 2], [chance.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    made = spark.createDataFrame(rows, "vec_id bigint, ord bigint, game_id string, embedding array<float>")
+    asked = made.select(F.col("vec_id").alias("query_id"), "game_id", "embedding")
+    want = sorted(vector.vector_search(made, asked, 3, "vec_id").collect())
+    width = vector.pack_blocks(made, "vec_id", "v_").agg(F.sum(F.octet_length("v_matrix"))).first()[0]
+    assert width == 60 * 8 * 4
+    monkeypatch.setattr(vector, "fits_broadcast", lambda *a, **k: False)
+    monkeypatch.setattr(vector, "SLICE_BYTES", 256)
+    assert sorted(vector.vector_search(made, asked, 3, "vec_id").collect()) == want
