@@ -392,3 +392,48 @@ def test_vector_blocks_keep_their_width_and_meet_by_slices(spark, monkeypatch, n
     monkeypatch.setattr(vector, "fits_broadcast", lambda *a, **k: False)
     monkeypatch.setattr(vector, "SLICE_BYTES", 256)
     assert sorted(vector.vector_search(made, asked, 3, "vec_id").collect()) == want
+
+
+def test_small_blocks_dealt_to_slices_score_the_same(spark, data, monkeypatch):
+    """Chunks and queries in many blocks, neither side broadcast."""
+    from loreloom.operators import vector
+
+    chunks, asked = bindings.corpus(spark, data), bindings.queries(spark, data)
+    columns = ["query_id", "chunk_id", "ord", "bm25_score", "score", "rank"]
+    index = lexical.build_index(chunks)
+    want = sorted(lexical.search(index, asked, 7).select(*columns).collect())
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 500)
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 60)
+    monkeypatch.setattr(vector, "SLICE_BYTES", 1 << 12)
+    for module in (vector, lexical):
+        monkeypatch.setattr(module, "fits_broadcast", lambda *a, **k: False)
+    assert want and sorted(lexical.search(index, asked, 7).select(*columns).collect()) == want
+
+
+def test_texts_are_not_written_with_the_candidates(spark, monkeypatch):
+    from loreloom.operators import hybrid, rerank
+    from loreloom.session import materialise
+
+    written = []
+    for module in (hybrid, rerank):
+        monkeypatch.setattr(module, "materialise", lambda d: written.append(d.columns) or materialise(d))
+    embed = hash_embedding(16)
+    chunks = chunks_of(spark, chunk(1, "Fireball", "Fire damage."), chunk(2, "Bolt", "Shock damage."))
+    base = hybrid.KnowledgeBase(chunks, hybrid.embed_chunks(chunks, embed), embed)
+    found = hybrid.search(base, queries_of(spark, "Fireball damage")).collect()
+    assert {r["text"] for r in found} == {"Fire damage.", "Shock damage."}
+    assert written and not [c for c in written if "text" in c]
+
+
+def test_a_chunk_found_by_many_queries_is_repeated(spark, monkeypatch):
+    from loreloom.operators import hybrid
+
+    chunks = chunks_of(spark, chunk(1, "A", "one"), chunk(2, "B", "two"), chunk(3, "C", "three"))
+    found = spark.createDataFrame(
+        [(i, f"c{1 + (i % 7 == 0)}") for i in range(50)], "query_id int, chunk_id string"
+    )
+    want = sorted(hybrid.with_payload(found, chunks).select("query_id", "chunk_id", "text").collect())
+    monkeypatch.setattr(hybrid, "fits_broadcast", lambda *a, **k: False)
+    monkeypatch.setattr(hybrid, "HOT_ROWS", 10)
+    got = hybrid.with_payload(found, chunks).select("query_id", "chunk_id", "text")
+    assert len(want) == 50 and sorted(got.collect()) == want
