@@ -265,3 +265,41 @@ def test_a_stream_without_files_leaves_the_state_as_it_is(spark, tmp_path):
     stream = jobs.file_stream(spark, str(tmp_path / "in"), "*.parquet", spark.createDataFrame([], "id bigint").schema)
     got = jobs.versioned(stream, lambda old, batch: batch if old is None else old.unionByName(batch), "none")
     assert got.count() == 0
+
+
+def test_counters_of_a_shard_take_one_write_per_client(spark, tmp_path):
+    """All clients in one shard, over batches, with a client that is null: the numbers of the batch form."""
+    import pandas as pd
+
+    from loreloom.streaming import state
+
+    writes = []
+
+    class Held(dict):
+        def exists(self):
+            return bool(self)
+
+        containsKey, getValue = dict.__contains__, dict.get
+
+        def updateValue(self, key, value):
+            writes.append(key)
+            self[key] = value
+
+    handle = type("Handle", (), {"getMapState": lambda self, *a: Held()})()
+    counters = state.ClientCounters(["hit_id", "client", "ts"])
+    counters.init(handle)
+    start = dt.datetime(2024, 1, 1, 23, 58)
+    rows = pd.DataFrame({"hit_id": range(400), "client": [i % 4 for i in range(400)]})
+    rows["ts"] = start + pd.to_timedelta(rows["hit_id"] * 2, unit="s")
+    rows["client_key"] = rows["client"].astype(str)
+    parts = [rows.iloc[:150].sample(frac=1, random_state=1), rows.iloc[150:].sample(frac=1, random_state=2)]
+    got = pd.concat([d for p in parts for d in counters.handleInputRows((0,), iter([p]), None)]).sort_values("hit_id")
+    for name, unit in (("minute_count", "min"), ("day_count", "D")):
+        want = rows.groupby(["client", rows["ts"].dt.floor(unit)]).cumcount() + 1
+        assert got[name].tolist() == want.tolist()
+    assert len(writes) == 2 * 4
+    schema = "hit_id int, client int, ts timestamp"
+    deliver(tmp_path / "in", *[spark.createDataFrame([(i, None, start), (i + 9, 1, start)], schema) for i in range(2)])
+    stream = stream_of(spark, tmp_path / "in", spark.createDataFrame([], schema).schema)
+    one = state.counted_hits(stream, str(tmp_path / "root"), shards=1).collect()
+    assert sorted((str(r["client"]), r["day_count"]) for r in one) == [("1", 1), ("1", 2), ("None", 1), ("None", 2)]
