@@ -303,3 +303,16 @@ def test_counters_of_a_shard_take_one_write_per_client(spark, tmp_path):
     stream = stream_of(spark, tmp_path / "in", spark.createDataFrame([], schema).schema)
     one = state.counted_hits(stream, str(tmp_path / "root"), shards=1).collect()
     assert sorted((str(r["client"]), r["day_count"]) for r in one) == [("1", 1), ("1", 2), ("None", 1), ("None", 2)]
+
+
+def test_rows_that_came_once_are_not_shuffled(spark):
+    """Only keys and places are aggregated; the join brings the few repeated keys to the rows."""
+    from loreloom.streaming.slicelog import newest_delivery
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z")], "k string, arrival int, text string")
+    made = newest_delivery(rows, "k", "arrival")
+    assert sorted(map(tuple, made.collect())) == [("a", 3, "z"), ("b", 2, "y")]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    twice = rows.unionByName(spark.createDataFrame([("b", 2, "y"), (None, 9, "n")], rows.schema))
+    assert sorted(map(tuple, newest_delivery(twice, "k", "arrival").collect())) == [("a", 3, "z"), ("b", 2, "y")]
