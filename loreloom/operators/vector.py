@@ -21,6 +21,7 @@ from loreloom.session import fits_broadcast, is_written, join_small, materialise
 BLOCK_BYTES = 1 << 20
 SLICE_BYTES = 4 << 20  # of a tenant's vectors that its query blocks are sent to at once
 MOST_SLICES = 16
+PAIR_ROWS = 4  # pairs of blocks that a Python worker holds at once
 
 
 def _kind(vectors: DataFrame) -> type:
@@ -156,4 +157,5 @@ def vector_search(
     found = pairs.mapInArrow(
         score, f"query_id {query_type}, {key} {key_type}, ord bigint, score double"
     )
-    return top_k(found, ["query_id"], [F.desc("score"), F.asc("ord")], k)
+    best = top_k(found, ["query_id"], [F.desc("score"), F.asc("ord")], k)
+    return materialise(best, batch_rows=PAIR_ROWS)
