@@ -1,7 +1,7 @@
 """Entity registry: build, list, exact lookup, mentions in text, fuzzy lookup.
 
-Nothing here compares every text with every name. Mentions are found by one pass of each text over a
-trie of names. Substrings of looked-up values are found by equality: the registry gives the lengths
+Nothing here compares every text with every name. Mentions of long names meet the texts on a run of
+their words, those of short names are found by one pass of each text over a trie. Substrings of looked-up values are found by equality: the registry gives the lengths
 that follow each leading fragment, the value yields the substrings of exactly those lengths, and these
 meet the names on the whole string. Fuzzy candidates share a whole
 segment of the name (a string within d edits keeps one of d + 1 segments), a word, or contain
@@ -28,6 +28,7 @@ HEAD = 4
 STRETCH = 256
 SHARD_CHARS = 2 << 20  # of the names that one trie holds
 SLICE_BYTES = 4 << 20  # of the texts that meet a trie at once
+RUN = 6  # words inside a name that it meets a text on
 FAR = 8  # from this length ratio on, a partial match scores too little for any lookup
 ENTITY_COLUMNS = [
     "game_id", "canonical_name", "normalized_name", "content_type", "source_url", "aliases",
@@ -217,6 +218,35 @@ def first_places(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
+def places_of_long(normal: DataFrame, names: DataFrame) -> DataFrame:
+    """text_id, game_id, found and the first position (from 1) of each name of RUN + 2 words or more.
+
+    In a text that holds such a name, all of its words but the first and the last stand alone and in
+    a row. Names and texts meet on the first RUN of these by equality, then the whole name is
+    looked for. `normal` is written and has `place`, a number per text.
+    """
+    inner = F.slice(F.split("found", " "), 2, RUN)
+    named = materialise(
+        names.select("game_id", "found", F.xxhash64(inner).alias("key"), F.monotonically_increasing_id().alias("no"))
+    )
+    # Written out in one lambda, the words would be cut again for every run.
+    runs = tx.let(
+        F.split("text", " "),
+        lambda w: F.array_distinct(
+            F.transform(
+                F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(w) - RUN)),
+                lambda i: F.xxhash64(F.slice(w, i, RUN)),
+            )
+        ),
+    )
+    asked = tx.explode_once(normal.select("game_id", "place", "text"), runs, "key").select("game_id", "place", "key")
+    # Numbers meet, then the names that were met are joined, then the texts: no string is repeated per slice.
+    met = materialise(join_small(asked, named.select("game_id", "key", "no"), ["game_id", "key"]).select("place", "no"))
+    rows = normal.join(join_small(named.select("no", "found"), met, ["no"]), "place")
+    at = F.instr("text", F.col("found"))
+    return rows.select("text_id", "game_id", "found", at.alias("position")).filter("position > 0")
+
+
 def mentions(
     entities: DataFrame, texts: DataFrame, content_type: str | None = None
 ) -> DataFrame:
@@ -231,10 +261,20 @@ def mentions(
     ))
     normal = materialise(
         texts.select("text_id", "game_id", tx.entity_name(F.col("text")).alias("text"))
-        .filter(F.col("text") != "")
+        .filter(F.col("text") != "").withColumn("place", F.monotonically_increasing_id())
+    )
+    # Names of a few words are few; only they are searched in every text.
+    long = F.size(F.split("found", " ")) >= RUN + 2
+    distinct = names.select("game_id", "found").distinct()
+    places = materialise(
+        first_places(*_name_cells(normal, distinct.filter(~long))).unionByName(
+            places_of_long(normal, distinct.filter(long))
+        )
     )
+    own = ["game_id", "found"]
+    hit = materialise(names.join(places.select(*own).distinct(), own, "left_semi"))
     return (
-        join_small(first_places(*_name_cells(normal, names)), names, ["game_id", "found"])
+        join_small(places, hit, own)
         .groupBy("text_id", "game_id", "canonical_name")
         .agg(
             F.min("position").alias("position"),
