@@ -27,7 +27,8 @@ from loreloom.session import materialise
 
 LENGTH, SEED = 100, 32
 SPANS_PER_SHARD = 2048
-SORTED_AT_ONCE = 2 << 20
+SORTED_AT_ONCE = 1 << 19  # bytes of spans, besides a whole shard; sorting holds many times as much
+SPANS_SENT = 1024  # spans that a Python worker is sent at once
 
 
 def _packed(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -303,7 +304,7 @@ def _sorted_repeats(laid: DataFrame, length: int) -> DataFrame:
             yield found(pa.Table.from_batches(held))
 
     dealt = laid.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
-    return dealt.mapInArrow(run, f"row_key {key}, start long, end long")
+    return materialise(dealt.mapInArrow(run, f"row_key {key}, start long, end long"), SPANS_SENT)
 
 
 def earlier_runs(docs: DataFrame, unit: Unit) -> DataFrame:
@@ -330,7 +331,7 @@ def earlier_runs(docs: DataFrame, unit: Unit) -> DataFrame:
     reps = materialise(
         mixed.join(shards, "anchor").select("anchor", "first.row_key", "first.start", "owned", "shards")
     )
-    found = materialise(_sorted_repeats(_laid_out(docs, reps, unit), unit.length))
+    found = _sorted_repeats(_laid_out(docs, reps, unit), unit.length)
     return materialise(copies).unionByName(found)
 
 
