@@ -1,9 +1,9 @@
 """Approximate cosine top-k by an inverted file of coarse cells.
 
 Centres are fitted on a bounded sample; every row belongs to the cell of its nearest centre, inside
-its tenant. A query asks the cells of its nearest centres only: rows and probes meet on (tenant, cell)
-and are scored exactly there, by the blocks of `vector.vector_search`. How many cells are asked is
-chosen on the sample, so that the wanted recall is reached there; `recall` measures it against the
+its tenant. A query asks the cells of its nearest centres only: it travels once, with a bit for each
+cell it asks, and blocks of `vector.vector_search` score it exactly on the rows of these cells. How many
+cells are asked is chosen on the sample, so that the wanted recall is reached there; `recall` measures it against the
 exact search.
 """
 
@@ -16,8 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreloom.functions import text as tx
-from loreloom.operators.vector import vector_search
+from loreloom.operators.vector import MARK, vector_search
 
 SAMPLE_ROWS = 16_384  # rows that centres are fitted on, at most
 SAMPLE_BYTES = 64 << 20  # and their bytes
@@ -97,43 +96,48 @@ def fit_centres(
     return Centres(matrix, _probes(sample, tenants, matrix, k, target))
 
 
-def nearest_cells(embedding: Column, centres: Centres, count: int) -> Column:
-    """Numbers of the nearest centres; none for a null vector."""
-    matrix = centres.matrix.T
+def cell_marks(embedding: Column, centres: Centres, asks: bool) -> Column:
+    """The number of the nearest centre in four bytes and, where a row `asks`, a bit per centre that tells
+    whether it is among the nearest `probes`; none for a null vector."""
+    matrix, count = centres.matrix.T, centres.probes
 
-    @F.pandas_udf("array<int>")
-    def cells(vectors: pd.Series) -> pd.Series:
+    @F.pandas_udf("binary")
+    def marks(vectors: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
         have = vectors.notna()
         if have.any():
             near = _unit(np.vstack(vectors[have].to_list()).astype(np.float64)) @ matrix
-            order = np.argsort(-near, axis=1, kind="stable")[:, :count].astype(np.int32)
-            out[have] = pd.Series(list(order), index=vectors.index[have])
+            order = np.argsort(-near, axis=1, kind="stable")
+            found = np.ascontiguousarray(order[:, :1].astype("<i4")).view(np.uint8)
+            if asks:
+                asked = np.zeros(near.shape, bool)
+                np.put_along_axis(asked, order[:, :count], True, axis=1)
+                found = np.concatenate([found, np.packbits(asked, axis=1, bitorder="little")], axis=1)
+            out[have] = pd.Series([row.tobytes() for row in found], index=vectors.index[have])
         return out
 
-    return cells(embedding)
+    return marks(embedding)
 
 
-def _celled(rows: DataFrame, centres: Centres | None, count: int) -> DataFrame:
+def _celled(rows: DataFrame, centres: Centres | None, asks: bool) -> DataFrame:
     if centres is None:  # nothing was there to fit
         return rows
-    found = tx.explode_once(rows, nearest_cells(F.col("embedding"), centres, count), "__cell")
-    own = F.concat_ws("#", F.col("game_id").cast("string"), F.col("__cell").cast("string"))
-    return found.filter(F.col("game_id").isNotNull()).withColumn("game_id", own).drop("__cell")
+    marked = rows.withColumn(MARK, cell_marks(F.col("embedding"), centres, asks))
+    marked = marked.filter(F.col("game_id").isNotNull() & F.col(MARK).isNotNull())
+    # Rows of a cell together, and queries of a cell: these ask much the same cells.
+    return marked.hint("rebalance", "game_id").sortWithinPartitions("game_id", MARK)
 
 
 def assign(vectors: DataFrame, centres: Centres | None) -> DataFrame:
-    """The index: every row under its cell, rows of a cell together; a large cell is split."""
-    return _celled(vectors, centres, 1).hint("rebalance", "game_id").sortWithinPartitions("game_id")
+    """The index: every row with its cell, rows of a cell together; a large cell is split."""
+    return _celled(vectors, centres, False)
 
 
 def ivf_search(
     index: DataFrame, queries: DataFrame, centres: Centres | None, k: int = 5, key: str = "chunk_id"
 ) -> DataFrame:
     """query_id, key, ord, score, rank from the cells that each query asks (`index` from `assign`)."""
-    asked = _celled(queries, centres, centres.probes if centres else 0)
-    # Questions of a cell together, as in the index: else a block is a few questions, and there are as many blocks.
-    return vector_search(index, asked.hint("rebalance", "game_id").sortWithinPartitions("game_id"), k, key)
+    return vector_search(index, _celled(queries, centres, True), k, key)
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str = "chunk_id") -> DataFrame:

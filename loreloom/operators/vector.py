@@ -24,6 +24,7 @@ MOST_SLICES = 16
 PAIR_ROWS = 4  # pairs of blocks that a Python worker holds at once
 LEADERS_BYTES = 32 << 20  # of best scores that a task remembers
 DIGITS = 6  # scores are compared rounded
+MARK = "__mark"  # column with the cell of a vector, and with the cells that a query asks
 
 
 def _kind(vectors: DataFrame) -> type:
@@ -39,12 +40,15 @@ def _unit(matrix: bytes, rows: int, kind: type) -> np.ndarray:
 
 
 def pack_blocks(vectors: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Rows (key, ord, game_id, embedding) to blocks of vectors per tenant, as wide as they come."""
-    kind = _kind(vectors)
+    """Rows (key, ord, game_id, embedding) to blocks of vectors per tenant, as wide as they come.
+
+    Marks, all of one length, are put in a row as well.
+    """
+    kind, marked = _kind(vectors), MARK in vectors.columns
     key_type = vectors.schema[key].dataType.simpleString()
     schema = (
         f"game_id string, {prefix}ids array<{key_type}>, {prefix}ords array<bigint>, "
-        f"{prefix}matrix binary"
+        f"{prefix}matrix binary" + (f", {prefix}marks binary" if marked else "")
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +61,8 @@ def pack_blocks(vectors: DataFrame, key: str, prefix: str) -> DataFrame:
             games = np.array(batch.column("game_id").to_pylist(), dtype=object)
             ids, ords = batch.column("key"), batch.column("ord")
             step = max(1, BLOCK_BYTES // (8 * matrix.shape[1]))  # of the doubles they become
-            out: dict[str, list] = {"g": [], "i": [], "o": [], "m": []}
+            marks = np.array(batch.column(MARK).to_pylist() if marked else [], dtype=object)
+            out: dict[str, list] = {"g": [], "i": [], "o": [], "m": [], "k": []}
             for game in sorted(set(games)):
                 rows = np.flatnonzero(games == game)
                 for start in range(0, len(rows), step):
@@ -66,19 +71,21 @@ def pack_blocks(vectors: DataFrame, key: str, prefix: str) -> DataFrame:
                     out["i"].append(ids.take(pa.array(part)).to_pylist())
                     out["o"].append(ords.take(pa.array(part)).to_pylist())
                     out["m"].append(matrix[part].tobytes())
+                    out["k"].append(b"".join(marks[part]) if marked else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(out["g"], pa.string()),
                     pa.array(out["i"], pa.list_(ids.type)),
                     pa.array(out["o"], pa.list_(pa.int64())),
                     pa.array(out["m"], pa.binary()),
+                    *([pa.array(out["k"], pa.binary())] if marked else []),
                 ],
-                names=["game_id", f"{prefix}ids", f"{prefix}ords", f"{prefix}matrix"],
+                names=["game_id", *[prefix + n for n in ("ids", "ords", "matrix", "marks")[: 4 if marked else 3]]],
             )
 
     chosen = vectors.select(
         F.col(key).alias("key"), F.col("ord").cast("bigint").alias("ord"),
-        F.col("game_id").cast("string").alias("game_id"), "embedding",
+        F.col("game_id").cast("string").alias("game_id"), "embedding", *([MARK] if marked else []),
     ).filter(F.col("game_id").isNotNull())
     return chosen.mapInArrow(pack, schema)
 
@@ -164,13 +171,29 @@ def met(left: DataFrame, right: DataFrame, size: str = "v_matrix", ids: str = "v
     return dealt.join(repeated.hint("merge"), ["game_id", "__slice"]).drop("__slice")
 
 
+def _asked(q: np.ndarray, v: np.ndarray, q_marks: bytes, v_marks: bytes) -> np.ndarray:
+    """Scores of the vectors in the cells that a query asks; -inf elsewhere."""
+    cells = np.frombuffer(v_marks, "<i4")
+    bits = np.frombuffer(q_marks, np.uint8).reshape(len(q), -1)[:, 4:]
+    scores = np.full((len(q), len(v)), -np.inf)
+    order = np.argsort(cells, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+        cell = cells[own[0]]
+        lines = np.flatnonzero(bits[:, cell >> 3] >> (cell & 7) & 1)
+        if len(lines):
+            scores[lines[:, None], own] = q[lines] @ v[own].T
+    return scores
+
+
 def vector_search(
     vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "chunk_id"
 ) -> DataFrame:
     """query_id, key, ord, score, rank.
 
-    `vectors` has key, ord, game_id, embedding; `queries` has query_id, game_id, embedding.
+    `vectors` has key, ord, game_id, embedding; `queries` has query_id, game_id, embedding. Where both
+    bring a MARK, a query meets the vectors of the cells it asks.
     """
+    marked = MARK in vectors.columns
     query_type = queries.schema["query_id"].dataType.simpleString()
     key_type = vectors.schema[key].dataType.simpleString()
     v_kind, q_kind = _kind(vectors), _kind(queries)
@@ -178,7 +201,7 @@ def vector_search(
     right = materialise(pack_blocks(queries.withColumn("ord", F.lit(0)), "query_id", "q_"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaders = Leaders(k)
+        leaders = Leaders(k, least=np.finfo(np.float64).min)
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = {n: batch.column(n)[row] for n in batch.schema.names if n != "game_id"}
@@ -186,10 +209,13 @@ def vector_search(
                 v_ords = cell["v_ords"].values.to_numpy(zero_copy_only=False).astype(np.int64)
                 q = _unit(cell["q_matrix"].as_buffer(), len(q_ids), q_kind)
                 v = _unit(cell["v_matrix"].as_buffer(), len(v_ids), v_kind)
+                scores = _asked(q, v, *(cell[n].as_buffer() for n in ("q_marks", "v_marks"))) if marked else q @ v.T
                 if np.isnan(q).any() or np.isnan(v).any():
-                    line, column, value = _best_of_each(np.round(q @ v.T, DIGITS), v_ords, k)
+                    line, column, value = _best_of_each(np.round(scores, DIGITS), v_ords, k)
+                    there = value != -np.inf
+                    line, column, value = line[there], column[there], value[there]
                 else:
-                    line, column, value = leaders.enter(tuple(q_ids.to_pylist()), q @ v.T, v_ords)
+                    line, column, value = leaders.enter(tuple(q_ids.to_pylist()), scores, v_ords)
                 if len(line):
                     yield pa.RecordBatch.from_arrays(
                         [q_ids.take(pa.array(line)), v_ids.take(pa.array(column)),
